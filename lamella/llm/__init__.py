@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, mixing
+from . import decontaminate, lines, mixing, toxicity
 
-MODULES = (lines, decontaminate, mixing)
+MODULES = (lines, decontaminate, mixing, toxicity)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
