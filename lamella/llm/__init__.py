@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lines, lm_score, mixing, toxicity
+from . import decontaminate, knn, licenses, lines, lm_score, mixing, toxicity
 
-MODULES = (lines, decontaminate, mixing, toxicity, lm_score)
+MODULES = (licenses, lm_score, mixing, lines, toxicity, knn, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
