@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, knn, licenses, lines, lm_score, mixing, toxicity
+from . import decontaminate, jaccard, knn, licenses, lines, lm_score, mixing, recompress, suffix_array, toxicity
 
-MODULES = (licenses, lm_score, mixing, lines, toxicity, jaccard, knn, decontaminate)
+MODULES = (licenses, lm_score, mixing, lines, recompress, toxicity, jaccard, suffix_array, knn, decontaminate)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
