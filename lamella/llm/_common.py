@@ -28,13 +28,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the folder named by spark.checkpoint.dir; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-checkpoint-")
-        )
+    """``df.checkpoint()`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
