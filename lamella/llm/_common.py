@@ -6,6 +6,7 @@ worker's memory follows the chunk (or the longest single text), not the partitio
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -42,6 +43,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that a checkpoint has replaced; it does so when the JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Materialise ``df``; marked for broadcast only if it has at most ``rows`` rows."""
     df = checkpoint(df)

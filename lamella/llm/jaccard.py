@@ -6,13 +6,15 @@ the hash of what it holds there. A set is regular if fewer than m of its partiti
 always shares a signature that is not empty. Sets that are not (a fraction of a per cent) are dealt again with
 another seed, and so on; after ``SEEDS`` seeds their empty signature joins in.
 
-Dropping features from the domain never raises a distance. Features held by a large share of all documents are
-left out of the signatures of sets that have enough others (of both sets of a pair, or of neither: sets near the
-limit send both kinds), so a passage that a third of all documents share makes no candidates.
+Dropping features from the domain never raises a distance. Features that ``COMMON`` documents or more hold (counted
+exactly) are left out of the signatures of sets that have enough others, for both sets of a pair or for neither: sets
+near the limit send both kinds. So fewer than ``COMMON`` classes share such a signature, whatever passage a third of
+all documents holds. A pair must also share at least m less its empty partitions, which rules out most candidates.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,15 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lamella.session import ship
-
-from ._common import P2, checkpoint, chunks, mix, partitions_for, prefix_sums, read, spans_hash
+from ._common import P2, checkpoint, mix, partitions_for, prefix_sums, read, release, spans_hash
 from .components import components
 from .lm_score import tokens
+from .packs import merged, occurs, packs, round_trip, unpack
 
 SEEDS = 6
-#: common features that are left out of signatures at most, 8 bytes each
-MAX_COMMON = 1 << 16
+COMMON = 12
 BIG_GROUP = 16
 BITS = 1 << 17  # words of the fixed-size bitmap that spares documents without candidates
 
@@ -71,14 +71,11 @@ def bands(top: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low), np.array(high)
 
 
-def signatures(doc: np.ndarray, g: np.ndarray, size: np.ndarray, common: np.ndarray, num: int, den: int):
-    """(document, signature) pairs of all bands, domains and seeds that are due."""
+def signatures(doc: np.ndarray, g: np.ndarray, size: np.ndarray, rare: np.ndarray, num: int, den: int):
+    """(document, signature) of all bands, domains and seeds that are due, and what a link shares at least, by document."""
+    need = np.full(len(size), 1 << 30)
     low, high = bands(int(size.max(initial=1)), num, den)
     own = np.searchsorted(low, size, "right") - 1
-    rare = np.ones(len(g), bool)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, g), len(common) - 1)
-        rare = common[at] != g
     rares = np.bincount(doc, weights=rare, minlength=len(size)).astype(np.int64)
     out_d, out_s = [], []
     for shift in (0, 1):
@@ -86,12 +83,12 @@ def signatures(doc: np.ndarray, g: np.ndarray, size: np.ndarray, common: np.ndar
         top = high[np.maximum(band, 0)]
         # |A xor B| <= (1-s)/(1+s) (|A|+|B|), with |A| <= top and |B| <= |A|/s
         k = (den - num) * top // num
-        m = 2 + (35 * k) // 100
-        parts = k + m
-        least = (7 * low[np.maximum(band, 0)] + 9) // 10
+        least = (45 * low[np.maximum(band, 0)] + 99) // 100
         live = (band >= 0) & (size > 0) & (k > 0)
         for domain in (0, 1):
             due = live & ((rares >= least) if domain else (rares < least + k + 1))
+            m = 2 + (150 * k) // 100 if domain else 2 + (35 * k) // 100
+            parts = k + m
             for seed in range(SEEDS + 1):
                 if not due.any():
                     break
@@ -110,14 +107,16 @@ def signatures(doc: np.ndarray, g: np.ndarray, size: np.ndarray, common: np.ndar
                 tag = (band[d[start]].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64) * np.uint64(16) + np.uint64(seed * 2 + domain)
                 out_d.append(d[start])
                 out_s.append(mix(sums + mix(tag)))
+                need[due] = np.minimum(need[due], (m - (parts - full))[due])
                 due = due & (parts - full >= m)
                 if seed == SEEDS and due.any():
                     d = np.flatnonzero(due)
                     out_d.append(d)
                     out_s.append(mix(band[d].astype(np.uint64) * np.uint64(64) + np.uint64(32 + domain)))
+    need = np.maximum(need, 1)
     if not out_d:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_d), np.concatenate(out_s)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), need
+    return np.concatenate(out_d), np.concatenate(out_s), need
 
 
 def link_components(
@@ -141,178 +140,139 @@ def link_components(
     Jaccard distance to the common pivot does not exclude). Pairs meet by pivot, hot pivots being salted.
     """
     spark = docs.sparkSession
-    ship(spark)
     buckets = 2 * partitions_for(spark, 12)
     id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("hh"))
+    table = packs(docs, id_col, text_col)
+
+    def sets_of(batch: pa.RecordBatch, i: int):
+        data, off = unpack(batch.column("x")[i].as_py())
+        return (*shingle_sets(data, off, width), len(off) - 1)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, off in chunks(batch, "text"):
-                doc, g = shingle_sets(data, off, width)
-                size, c = set_digests(doc, g, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(c), batch.column("hh").slice(lo, hi - lo)], names=["id", "n", "c", "hh"]
-                )
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shingles that an unusual share of a partition's documents hold, counted over the whole partition."""
-        held, n, docs_seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for batch in batches:
-            parts = []
-            for lo, hi, data, off in chunks(batch, "text"):
-                parts.append(shingle_sets(data, off, width)[1])
-            docs_seen += batch.num_rows
-            u, c = np.unique(np.concatenate(parts), return_counts=True) if parts else (held[:0], n[:0])
-            keep = c >= 2
-            both = np.r_[held, u[keep]]
-            held, inverse = np.unique(both, return_inverse=True)
-            n = np.bincount(inverse, weights=np.r_[n, c[keep]], minlength=len(held)).astype(np.int64)
-            if len(held) > 4 * MAX_COMMON:
-                top = np.sort(np.argpartition(n, -2 * MAX_COMMON)[-2 * MAX_COMMON :])
-                held, n = held[top], n[top]
-        keep = n >= max(4, docs_seen // 2000)
-        yield pa.RecordBatch.from_arrays([pa.array(held[keep].view(np.int64)), pa.array(n[keep])], names=["g", "n"])
-
-    sized = checkpoint(rows.mapInArrow(digest, f"id {id_type}, n long, c long, hh long"))
-    total = sized.count()
-    found = (
-        rows.mapInArrow(frequent, "g long, n long")
-        .groupBy("g")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= max(40, total // 1000))
-        .orderBy(F.desc("n"), "g")
-        .limit(MAX_COMMON)
-        .select("g")
-        .collect()
-    )
-    common = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+            for i in range(batch.num_rows):
+                size, c = set_digests(*sets_of(batch, i))
+                yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), pa.array(size.astype(np.int64)), pa.array(c)], names=["id", "n", "c"])
+
+    sized = checkpoint(table.mapInArrow(digest, f"id {id_type}, n long, c long"))
+    table = round_trip(table, lambda batch, i: (sets_of(batch, i)[1], lambda o: None), occurs(COMMON), "uint8", buckets, "common", 5)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # one signature set a class and partition
         for batch in batches:
-            held_s, held_c = [], []
-            for lo, hi, data, off in chunks(batch, "text"):
-                doc, g = shingle_sets(data, off, width)
-                size, c = set_digests(doc, g, hi - lo)
+            for i in range(batch.num_rows):
+                doc, g, n = sets_of(batch, i)
+                rare = merged(batch, i, "common", g, buckets, np.uint8) == 0
+                size, c = set_digests(doc, g, n)
                 _, first = np.unique(c, return_index=True)
-                once = np.zeros(hi - lo, bool)
-                once[[i for i in first.tolist() if size[i] and int(c[i]) not in seen]] = True
+                once = np.zeros(n, bool)
+                once[[j for j in first.tolist() if size[j] and int(c[j]) not in seen]] = True
                 seen.update(c[once].tolist())
                 keep = once[doc]
-                d, s = signatures(doc[keep], g[keep], np.where(once, size, 0), common, num, den)
-                held_s.append(s)
-                held_c.append(c[d])
-            s, c = np.concatenate(held_s), np.concatenate(held_c)
-            classes, at = np.unique(c, return_inverse=True)
-            to = (s >> np.uint64(33)).astype(np.int64) % buckets
-            order = np.argsort(to, kind="stable")
-            edges = np.searchsorted(to[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                o = order[edges[b] : edges[b + 1]]
-                if len(o):
-                    local, index = np.unique(at[o], return_inverse=True)
-                    blob = (
-                        np.array([len(local), len(o)], np.int64).tobytes()
-                        + classes[local].tobytes()
-                        + np.ascontiguousarray(s[o].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-                        + index.astype(np.uint16 if len(local) < 65536 else np.uint32).tobytes()
-                    )
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["b", "x"])
+                d, s, need = signatures(doc[keep], g[keep], np.where(once, size, 0), rare[keep], num, den)
+                to = (s >> np.uint64(33)).astype(np.int64) % buckets
+                order = np.argsort(to, kind="stable")
+                edges = np.searchsorted(to[order], np.arange(buckets + 1))
+                bs, xs = [], []
+                for b in np.flatnonzero(np.diff(edges)).tolist():
+                    o = order[edges[b] : edges[b + 1]]
+                    local, index = np.unique(d[o], return_inverse=True)
+                    low = np.ascontiguousarray(s[o].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    bs.append(b)
+                    xs.append(pickle.dumps((low, c[local], need[local].astype(np.int32), index.astype(np.uint16 if len(local) < 65536 else np.uint32)), protocol=5))
+                yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(xs, pa.binary())], names=["b", "x"])
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, cls, owner = [], [], []
+        sig, cls, least = [], [], []
         for batch in batches:
-            for b, x in zip(batch.column("b").to_pylist(), batch.column("x").to_pylist(), strict=True):
-                k, n = np.frombuffer(x, np.int64, 2)
-                c = np.frombuffer(x, np.int64, k, 16)
-                raw = np.zeros((n, 8), np.uint8)
-                raw[:, :6] = np.frombuffer(x, np.uint8, 6 * n, 16 + 8 * k).reshape(-1, 6)
-                index = np.frombuffer(x, np.uint16 if k < 65536 else np.uint32, n, 16 + 8 * k + 6 * n)
+            for x in batch.column("x").to_pylist():
+                low, c, need, index = pickle.loads(x)
+                raw = np.zeros((len(index), 8), np.uint8)
+                raw[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
                 sig.append(raw.view(np.uint64).ravel())
                 cls.append(c[index])
-                owner.append(b)
+                least.append(need[index])
         if not sig:
             return
-        s, c = np.concatenate(sig), np.concatenate(cls)
-        del sig, cls
+        s, c, need = np.concatenate(sig), np.concatenate(cls), np.concatenate(least)
+        del sig, cls, least
         order = np.argsort(s, kind="stable")
         s = s[order]
         twin = np.zeros(len(s), bool)
         twin[1:] = s[1:] == s[:-1]
         twin[:-1] |= twin[1:]
-        s, c = s[twin], c[order[twin]]
-        del order
+        s, c, need = s[twin], c[order[twin]], need[order[twin]]
         order = np.lexsort((c, s))
-        s, c = s[order], c[order]
+        s, c, need = s[order], c[order], need[order].astype(np.int64)
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])
-        s, c = s[new], c[new]
+        s, c, need = s[new], c[new], need[new]
         start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.r_[start, len(s)])
-        pair_a, pair_b, weight = [], [], []
-        lead = np.repeat(start, size)
-        star = np.arange(len(s)) != lead
-        pair_a.append(c[lead[star]])
-        pair_b.append(c[star])
-        weight.append(np.ones(int(star.sum()), np.int64))
+        lead, many = np.repeat(start, size), np.repeat(size > BIG_GROUP, size)
+        star = np.flatnonzero(np.arange(len(s)) != lead)
+        first_at, second_at, kinds = [lead[star]], [star], [np.where(many[star], 2, 1)]
         for n in range(3, BIG_GROUP + 1):
             at = start[size == n]
             i, j = np.triu_indices(n, 1)
             i, j = i[i > 0], j[i > 0]
-            pair_a.append(c[(at[:, None] + i).ravel()])
-            pair_b.append(c[(at[:, None] + j).ravel()])
-            weight.append(np.zeros(len(at) * len(i), np.int64))
-        a, b, w = (np.concatenate(x) for x in (pair_a, pair_b, weight))
-        if len(a):
-            order = np.lexsort((b, a))
-            a, b, w = a[order], b[order], w[order]
+            first_at.append((at[:, None] + i).ravel())
+            second_at.append((at[:, None] + j).ravel())
+            kinds.append(np.zeros(len(at) * len(i), np.int64))
+        p, q, kind = (np.concatenate(x) for x in (first_at, second_at, kinds))
+        if len(p):
+            order = np.lexsort((c[q], c[p]))
+            p, q, kind = p[order], q[order], kind[order]
+            a, b = c[p], c[q]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(w, first)), pa.nulls(len(first), pa.int64())], names=["a", "b", "w", "s"]
+                [
+                    *(pa.array(x[first]) for x in (a, b)),
+                    pa.array(np.diff(np.r_[first, len(p)]).astype(np.int64)),
+                    pa.array(np.add.reduceat((kind > 0).astype(np.int64), first)),
+                    pa.array(np.maximum.reduceat((kind == 2).astype(np.int64), first)),
+                    pa.array(np.maximum(need[p], need[q])[first]),
+                    pa.nulls(len(first), pa.int64()),
+                ],
+                names=["a", "b", "w", "stars", "big", "need", "s"],
             )
-        done: set[int] = set()
-        for at, n in zip(start[size > BIG_GROUP], size[size > BIG_GROUP], strict=True):
+        done: dict[int, list] = {}
+        for at, n in zip(start[size > BIG_GROUP].tolist(), size[size > BIG_GROUP].tolist(), strict=True):
             members = c[at : at + n]
-            name = int(mix(np.array([members.view(np.uint64).sum()]))[0] >> np.uint64(1))
-            if name not in done:
-                done.add(name)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, members[0])), pa.array(members), pa.array(np.zeros(n, np.int64)), pa.array(np.full(n, name))], names=["a", "b", "w", "s"]
-                )
-
-    sent = rows.select("text").mapInArrow(send, "b int, x binary").repartition(buckets, "b")
-    candidates = checkpoint(sent.mapInArrow(receive, "a long, b long, w long, s long"))
-    pairs = checkpoint(candidates.filter("s IS NULL").groupBy("a", "b").agg(F.sum("w").alias("w")))
-    groups = candidates.filter("s IS NOT NULL").select("s", F.col("a").alias("p"), F.col("b").alias("c")).distinct()
-
-    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    reps = checkpoint(sized.filter("n > 0").join(wanted, "c").groupBy("c").agg(F.min_by("hh", F.struct("id", "hh")).alias("hh")))
+            name = int(mix(np.array([members.view(np.uint64).sum() + np.uint64(n)]))[0] >> np.uint64(1))
+            done.setdefault(name, [at, n, 0])[2] += 1
+        for name, (at, n, times) in done.items():
+            columns = [np.full(n, c[at]), c[at : at + n], np.full(n, times), np.zeros(n, np.int64), np.ones(n, np.int64), need[at : at + n], np.full(n, name)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["a", "b", "w", "stars", "big", "need", "s"])
+
+    sent = table.mapInArrow(send, "b int, x binary").repartition(buckets, "b")
+    candidates = checkpoint(sent.mapInArrow(receive, "a long, b long, w long, stars long, big long, need long, s long"))
+    del sent
+    release(spark)
+    pairs = candidates.filter("s IS NULL").groupBy("a", "b").agg(*[F.sum(x).alias(x) for x in ("w", "stars")], *[F.max(x).alias(x) for x in ("big", "need")])
+    pairs = checkpoint(pairs)
+    likely = pairs.filter("w >= need OR big = 1")
+    groups = candidates.filter("s IS NOT NULL").groupBy("s", F.col("a").alias("p"), F.col("b").alias("c")).agg(F.sum("w").alias("times"), F.max("need").alias("need"))
+
+    wanted = likely.select(F.col("a").alias("c")).unionByName(likely.select(F.col("b").alias("c"))).unionByName(groups.select("c")).distinct()
+    wanted = checkpoint(wanted)
     bitmap = np.zeros(BITS, np.int64)
-    spot = reps.select(F.shiftrightunsigned("hh", 6).alias("h"), F.expr("shiftleft(1L, cast(hh & 63 as int))").alias("bit"))
+    spot = wanted.select(F.shiftrightunsigned("c", 6).alias("h"), F.expr("shiftleft(1L, cast(c & 63 as int))").alias("bit"))
     for i, x in spot.groupBy((F.col("h") % BITS).cast("int").alias("i")).agg(F.bit_or("bit").alias("x")).collect():
         bitmap[i] = x  # at most BITS rows
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            hh = batch.column("hh").to_numpy()
-            word = bitmap[((hh.view(np.uint64) >> np.uint64(6)) % np.uint64(BITS)).astype(np.int64)]
-            on = (word >> (hh & 63)) & 1 == 1
-            batch = batch.filter(pa.array(on))
-            hh = hh[on]
-            for lo, hi, data, off in chunks(batch, "text"):
-                doc, g = shingle_sets(data, off, width)
-                size, c = set_digests(doc, g, hi - lo)
+            for i in range(batch.num_rows):
+                doc, g, n = sets_of(batch, i)
+                size, c = set_digests(doc, g, n)
                 end = np.cumsum(size)
-                keep = np.flatnonzero(size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hh[lo:hi][keep]), pa.array(c[keep]), pa.array([g[end[i] - size[i] : end[i]].tobytes() for i in keep], pa.binary())],
-                    names=["hh", "c", "x"],
-                )
-
-    sets = checkpoint(
-        rows.select("text", "hh").mapInArrow(fetch, "hh long, c long, x binary").join(reps, ["hh", "c"], "left_semi").dropDuplicates(["c"]).select("c", "x")
-    )
+                on = (bitmap[(c >> 6) % BITS] >> (c & 63)) & 1 == 1
+                keep = [j for j in np.flatnonzero(on & (size > 0)).tolist() if not (int(c[j]) in seen or seen.add(int(c[j])))]
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array([g[end[j] - size[j] : end[j]].tobytes() for j in keep], pa.binary())], names=["c", "x"])
+
+    sets = checkpoint(table.mapInArrow(fetch, "c long, x binary").join(wanted, "c", "left_semi").dropDuplicates(["c"]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, held = None, None
@@ -347,11 +307,14 @@ def link_components(
         )
         met = partner.unionByName(pivot).repartition(partitions_for(spark, 12), "a", "salt")
         met = met.sortWithinPartitions("a", "salt", F.col("a") != F.col("b")).select("a", "b", "x")
-        return checkpoint(met.mapInArrow(compare, "a long, b long, both long, sizes long"))
+        out = checkpoint(met.mapInArrow(compare, "a long, b long, both long, sizes long"))
+        del partner, pivot, met
+        release(spark)
+        return out
 
     linked = F.col("both") * den >= num * (F.col("sizes") - F.col("both"))
-    best = Window.partitionBy("b").orderBy(F.desc("w"), "a")
-    one = verify(pairs.filter("w > 0").withColumn("r", F.row_number().over(best)).filter("r = 1"))
+    best = Window.partitionBy("b").orderBy(F.desc("stars"), "a")
+    one = verify(likely.filter("stars > 0").withColumn("r", F.row_number().over(best)).filter("r = 1"))
     roots = checkpoint(components(one.filter(linked)))
 
     def apart(todo: DataFrame) -> DataFrame:
@@ -364,22 +327,28 @@ def link_components(
             .select("a", "b")
         )
 
-    two = verify(apart(pairs).join(one.select("a", "b"), ["a", "b"], "left_anti"))
+    two = verify(apart(likely).join(one.select("a", "b"), ["a", "b"], "left_anti"))
     known = one.unionByName(two)
     roots = checkpoint(components(known.filter(linked)))
     far = known.select(F.col("a").alias("p"), F.col("b").alias("c"), (1 - F.col("both") / (F.col("sizes") - F.col("both"))).alias("d"))
     placed = (
         groups.join(roots.toDF("c", "root"), "c", "left")
         .join(far, ["p", "c"], "left")
-        .select("s", "c", F.coalesce("root", "c").alias("root"), F.when(F.col("p") == F.col("c"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
+        .select("s", "c", "times", "need", F.coalesce("root", "c").alias("root"), F.when(F.col("p") == F.col("c"), F.lit(0.0)).otherwise(F.col("d")).alias("d"))
     )
     mixed = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("s")
     placed = checkpoint(placed.join(mixed, "s"))
-    left, right = placed.toDF("s", "a", "ra", "da"), placed.toDF("s", "b", "rb", "db")
+    left, right = placed.toDF("s", "a", "times", "na", "ra", "da"), placed.toDF("s", "b", "_t", "nb", "rb", "db")
     close = F.coalesce(F.abs(F.col("da") - F.col("db")) <= (den - num) / den + 1e-9, F.lit(True))
-    three = verify(
-        left.join(right, "s").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close).select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    met = (
+        left.join(right, "s")
+        .filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & close)
+        .groupBy("a", "b")
+        .agg(F.sum("times").alias("t"), F.max(F.greatest("na", "nb")).alias("need"))
+        .join(pairs.select("a", "b", "w"), ["a", "b"], "left")
+        .filter(F.col("t") + F.coalesce("w", F.lit(0)) >= F.col("need"))
     )
+    three = verify(met.select("a", "b").join(known.select("a", "b"), ["a", "b"], "left_anti"))
     if not three.isEmpty():
         roots = checkpoint(components(known.unionByName(three).filter(linked)))
     classes = sized.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))

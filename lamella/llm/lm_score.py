@@ -31,6 +31,7 @@ from ._common import (
     lower_bytes,
     prefix_sums,
     read,
+    release,
     spans_hash,
     word_spans,
 )
@@ -41,6 +42,9 @@ HEAD = 1 << 18
 GRID = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 1e6)
 MAX_PIECE = 16
 FLOOR = math.log(1e-9)
+#: classes of texts, and buckets of short words that tell them apart
+CLASSES, SHORT = 4, 256
+STEP = 0x9E3779B97F4A7C15  # between the keys of a token in two classes
 
 
 def vocabulary_pieces(path: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +139,13 @@ class Lattice:
         return beta
 
     def words(self, buf: np.ndarray, off: np.ndarray, weight: np.ndarray | None = None):
-        """Natural-log marginals of the words buf[off[k]:off[k+1]]; with ``weight``, expected piece counts too.
+        """Natural-log marginals of the words buf[off[k]:off[k+1]]; with ``weight`` (words, classes), expected piece counts too.
 
         Words beyond 64 bytes are scored in stretches of 64 (no piece spans a stretch's edge).
         """
         size = np.diff(off)
         out = np.zeros(len(size))
-        counts = np.zeros(len(self.hashes)) if weight is not None else None
+        counts = np.zeros((weight.shape[1], len(self.hashes))) if weight is not None else None
         starts, owner, widths = off[:-1], np.arange(len(size)), size
         if len(size) and size.max() > 64:
             parts = np.maximum(-(-size // 64), 1)
@@ -167,7 +171,9 @@ class Lattice:
                     for n, p in enumerate(arcs[i], 1):
                         on = np.flatnonzero(p >= 0)
                         post = np.exp(alpha[i, on] + self.logs[p[on]] + beta[i + n, on] - alpha[width, on])
-                        counts += np.bincount(p[on], weights=post * w[on], minlength=len(counts))
+                        for c in range(len(counts)):
+                            some = w[on, c] > 0
+                            counts[c] += np.bincount(p[on][some], weights=(post * w[on, c])[some], minlength=counts.shape[1])
         return (out, counts) if counts is not None else out
 
 
@@ -203,17 +209,56 @@ def rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _terms(c, sub, n, train, total: float, types: float, discount: float):
+def short_words(s: np.ndarray, e: np.ndarray, doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(documents, SHORT): counts of words of up to three bytes by bucket."""
+    on = e - s <= 3
+    return np.bincount(doc[on] * SHORT + (h[on] % np.uint64(SHORT)).astype(np.int64), minlength=n * SHORT).reshape(n, SHORT)
+
+
+def class_weights(together: np.ndarray, texts: float) -> np.ndarray:
+    """(SHORT, CLASSES) log weights from counts of texts that hold two buckets: k-means of the leading directions of their
+    pointwise mutual information, then the share of each bucket among texts with a class's buckets."""
+    own = np.maximum(np.diag(together), 0.0)
+    seen = np.flatnonzero(own > max(3.0, 0.002 * texts))
+    out = np.zeros((SHORT, CLASSES))
+    if len(seen) < 2 * CLASSES:
+        return out
+    m = together[np.ix_(seen, seen)]
+    pmi = np.log((m + 0.5) * texts / ((own[seen][:, None] + 0.5) * (own[seen][None] + 0.5)))
+    values, vectors = np.linalg.eigh(pmi)
+    lead = np.argsort(-np.abs(values))[: CLASSES + 1]
+    x = vectors[:, lead] * np.sqrt(np.abs(values[lead]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-12
+    centre = [int(np.argmax(own[seen]))]
+    for _ in range(CLASSES - 1):
+        far = np.min([((x - x[c]) ** 2).sum(1) for c in centre], axis=0) * np.log1p(own[seen])
+        centre.append(int(np.argmax(far)))
+    c = x[centre]
+    for _ in range(50):
+        group = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        c = np.stack([x[group == k].mean(0) if (group == k).any() else c[k] for k in range(CLASSES)])
+    share = np.stack([m[:, group == k].sum(1) + 1e-3 * own[seen] / texts + 1e-9 for k in range(CLASSES)], 1)
+    share /= share.sum(0, keepdims=True)
+    base = own[seen] / own[seen].sum()
+    out[seen] = np.log(share + 1e-4 * base[:, None]) - np.log(base[:, None])
+    return out
+
+
+def _terms(k, ck, c, sub, n, train, stat: dict):
     """Per (text, token) row: for each concentration the score's term, then the leave-one-out terms; base; known."""
-    back = discount * types / total
-    p = np.maximum(c - discount, 0) / total + back * np.exp(sub)
-    q = (np.maximum(c - n - discount, 0) / total + back * np.exp(sub))[train]
-    own = [rising(a * p, n) for a in GRID]
+    total, types = stat["total"], stat["types"]
+
+    def p(own, all_):
+        every = np.maximum(all_ - stat["discount"], 0) / total + stat["back"] * np.exp(sub)
+        return np.maximum(own - stat["k_discount"][k], 0) / stat["k_total"][k] + stat["k_back"][k] * every
+
+    x, q = p(ck, c), p(ck - n, c - n)[train]
+    own = [rising(a * x, n) for a in GRID]
     out = []
     for a in GRID:
-        x = np.zeros(len(c))
-        x[train] = rising(a * np.maximum(q, 1e-300), n[train])
-        out.append(x)
+        y = np.zeros(len(c))
+        y[train] = rising(a * np.maximum(q, 1e-300), n[train])
+        out.append(y)
     return own, out, n * np.log10((c + 1) / (total + types + 1)), np.where(c > 0, n, 0)
 
 
@@ -238,15 +283,40 @@ def score_texts(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train")
     )
 
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = np.zeros((SHORT, SHORT))
+        for batch in batches:
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in chunks(batch, "text"):
+                _, s, e, doc, h = tokens(data, off)
+                held = (short_words(s, e, doc, h, hi - lo)[train[lo:hi]] > 0).astype(np.float32)
+                m += held.T @ held
+        i, j = np.nonzero(np.triu(m))
+        yield pa.RecordBatch.from_arrays([pa.array(i * SHORT + j), pa.array(m[i, j].astype(np.int64))], names=["k", "n"])
+
+    met = np.zeros(SHORT * SHORT)
+    for k, n in rows.mapInArrow(together, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        met[k] = n  # at most SHORT * SHORT / 2 rows
+    met = met.reshape(SHORT, SHORT)
+    by_class = class_weights(np.maximum(met, met.T), float(max(rows.filter("train").count(), 1)))
+
+    def classed(data, off):
+        """(lower-cased bytes, starts, ends, document, hash of words; class of documents)."""
+        data, s, e, doc, h = tokens(data, off)
+        n = len(off) - 1
+        return data, s, e, doc, h, (short_words(s, e, doc, h, n) @ by_class).argmax(1)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             train = batch.column("train").to_numpy(zero_copy_only=False)
-            held: dict = {"h": [], "n": [], "w": []}
+            held: dict = {"h": [], "n": [], "m": [], "w": []}
             for lo, hi, data, off in chunks(batch, "text"):
-                data, s, e, doc, h = tokens(data, off)
+                data, s, e, doc, h, kind = classed(data, off)
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+                cell = inverse * CLASSES + kind[doc]
                 held["h"].append(u)
-                held["n"].append(np.bincount(inverse, weights=train[lo:hi][doc], minlength=len(u)).astype(np.int64))
+                held["n"].append(np.bincount(cell, weights=train[lo:hi][doc], minlength=len(u) * CLASSES).reshape(-1, CLASSES))
+                held["m"].append(np.bincount(cell, minlength=len(u) * CLASSES).reshape(-1, CLASSES) > 0)
                 size = (e - s)[first]
                 end = np.cumsum(size)
                 span = np.repeat(s[first] - np.r_[0, end[:-1]], size) + np.arange(end[-1] if len(end) else 0)
@@ -257,54 +327,93 @@ def score_texts(
                 )
             if not held["h"]:
                 continue
-            h, n = np.concatenate(held["h"]), np.concatenate(held["n"])
-            u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            total = np.bincount(inverse, weights=n, minlength=len(u)).astype(np.int64)
+            u, first, inverse = np.unique(np.concatenate(held["h"]), return_index=True, return_inverse=True)
+            n, m = np.zeros((len(u), CLASSES)), np.zeros((len(u), CLASSES), bool)
+            np.add.at(n, inverse, np.concatenate(held["n"]))
+            np.logical_or.at(m, inverse, np.concatenate(held["m"]))
             w = pa.concat_arrays(held["w"]).take(pa.array(first)).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([w, pa.array(total)], names=["w", "n"])
+            mask = (m * (1 << np.arange(CLASSES))).sum(1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([w, pa.array(mask), *(pa.array(n[:, k].astype(np.int64)) for k in range(CLASSES))], names=["w", "m", *cs])
 
-    words = rows.mapInArrow(count, "w binary, n long").groupBy("w").agg(F.sum("n").alias("c"))
-    vocabulary = checkpoint(words)
-    ends = rows.filter("train").count()
+    cs = [f"c{k}" for k in range(CLASSES)]
+    counts_type = ", ".join(f"{c} long" for c in cs)
+    words = rows.mapInArrow(count, f"w binary, m long, {counts_type}").groupBy("w")
+    vocabulary = checkpoint(words.agg(F.bit_or("m").alias("m"), *[F.sum(c).alias(c) for c in cs]))
+    release(spark)
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(hashes, logs), np.zeros(len(hashes))
+    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CLASSES, np.int64)
         for batch in batches:
-            batch = batch.filter(pa.compute.greater(batch.column("c"), 0))
-            buf, off = _marked(batch.column("w"))
-            total += lattice.words(buf, off, batch.column("c").to_numpy().astype(float))[1]
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "x"])
+            train = batch.column("train").to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in chunks(batch, "text"):
+                n += np.bincount(classed(data, off)[5][train[lo:hi]], minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], names=["k", "n"])
+
+    k_ends = np.zeros(CLASSES)
+    for k, n in rows.mapInArrow(kinds, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        k_ends[k] = n
+    ends = int(k_ends.sum())
 
-    counts = np.zeros(len(hashes))
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice, total = Lattice(hashes, logs), np.zeros((CLASSES, len(hashes)))
+        for batch in batches:
+            weight = np.stack([batch.column(c).to_numpy() for c in cs], 1).astype(float)
+            on = weight.sum(1) > 0
+            buf, off = _marked(batch.column("w").filter(pa.array(on)))
+            total += lattice.words(buf, off, weight[on])[1]
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["k", "x"])
+
+    counts = np.zeros(CLASSES * len(hashes))
     for k, x in vocabulary.mapInArrow(expect, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
-        counts[k] = x  # one row a piece of the vocabulary
-    prior = np.exp(logs)
-    weights = (counts + 1e-3 * max(counts.sum(), 1.0) * prior) / (counts.sum() + 1e-3 * max(counts.sum(), 1.0) + ends)
-    trained = np.log(weights)
-    end_log = math.log(max(ends, 1) / (counts.sum() + max(ends, 1)))
+        counts[k] = x  # one row a class and piece of the vocabulary
+    counts = counts.reshape(CLASSES, -1)
+    every = counts.sum(0)
+    prior = (every + 1e-3 * max(every.sum(), 1.0) * np.exp(logs)) / (every.sum() + 1e-3 * max(every.sum(), 1.0))
+    smooth = counts + 1e-2 * np.maximum(counts.sum(1, keepdims=True), 1.0) * prior
+    trained = np.log(smooth / (smooth.sum(1, keepdims=True) + k_ends[:, None]))
+    end_log = np.log(np.maximum(k_ends, 1) / (smooth.sum(1) + np.maximum(k_ends, 1)))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(hashes, trained)
+        lattices = [Lattice(hashes, x) for x in trained]
         for batch in batches:
-            buf, off = _marked(batch.column("w"))
-            sub = lattice.words(buf, off)
-            raw = np.frombuffer(batch.column("w").cast(pa.large_binary()).buffers()[2] or b"", np.uint8)
-            o = np.r_[0, np.cumsum(np.diff(off) - 1)]
-            base = batch.column("w").cast(pa.large_binary())
-            o0 = np.frombuffer(base.buffers()[1], np.int64)[base.offset : base.offset + len(base) + 1]
-            h = spans_hash(prefix_sums(BYTE[raw[o0[0] : o0[-1]]], P1), o[:-1], o[1:], P1)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("c"), pa.array(sub)], names=["h", "c", "sub"])
-
-    table = checkpoint(vocabulary.mapInArrow(marginal, "h long, c long, sub double"))
-    stat = table.agg(
-        F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")
-    ).collect()[0]
-    total = (stat["n"] or 0) + ends
-    types = (stat["v"] or 0) + (ends > 0)
-    n1, n2 = stat["n1"] or 0, stat["n2"] or 0
-    discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
-    safe, safe_types = (float(total), float(types)) if total else (1.0, 1.0 / discount)  # all weight on the pieces
+            n = np.stack([batch.column(c).to_numpy() for c in cs], 1)
+            mask = batch.column("m").to_numpy()
+            for k in range(CLASSES):
+                on = (mask >> k) & 1 == 1
+                w = batch.column("w").filter(pa.array(on))
+                buf, off = _marked(w)
+                sub = lattices[k].words(buf, off)
+                bare = np.delete(buf, off[:-1])
+                o = off - np.arange(len(off))
+                h = spans_hash(prefix_sums(BYTE[bare], P1), o[:-1], o[1:], P1) + np.uint64(STEP * k % 2**64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(np.full(len(o) - 1, k)), pa.array(n[on, k]), pa.array(n[on].sum(1)), pa.array(sub)], names=["h", "k", "ck", "c", "sub"]
+                )
+
+    table = checkpoint(vocabulary.mapInArrow(marginal, "h long, k long, ck long, c long, sub double"))
+
+    def numbers(df: DataFrame, by: list, c: str) -> list:
+        one = lambda cond: F.sum((cond).cast("long"))
+        c = F.col(c)
+        return df.groupBy(*by).agg(F.sum(c).alias("n"), one(c > 0).alias("v"), one(c == 1).alias("n1"), one(c == 2).alias("n2")).collect()
+
+    def discounts(r, more: float):
+        """(tokens, types, discount, weight of the back-off) with the end token's count ``more``."""
+        n, v = (r["n"] or 0) + more, (r["v"] or 0) + (more > 0)
+        d = min(max(r["n1"] / (r["n1"] + 2 * r["n2"]), 0.1), 0.95) if r["n1"] else 0.5
+        return (float(n), float(v), d, d * v / n) if n else (1.0, 0.0, 0.0, 1.0)
+
+    whole = numbers(vocabulary.select(sum((F.col(c) for c in cs), F.lit(0)).alias("c")), [], "c")[0]
+    total, types = int((whole["n"] or 0) + ends), int((whole["v"] or 0) + (ends > 0))
+    parts_of = {r["k"]: r for r in numbers(table, ["k"], "ck")}
+    none = {"n": 0, "v": 0, "n1": 0, "n2": 0}
+    per = np.array([discounts(parts_of.get(k, none), k_ends[k]) for k in range(CLASSES)])
+    a_total, _, a_discount, a_back = discounts(whole, ends)
+    stat = {"total": a_total if total else 0.0, "types": float(types), "discount": a_discount, "back": a_back, "k_total": per[:, 0], "k_discount": per[:, 2], "k_back": per[:, 3]}
+    if not total:
+        stat["total"], stat["types"] = 1.0, -1.0  # base_score of an empty corpus: log10(1 / 1)
+    class_log = np.log((k_ends + 1) / (ends + CLASSES))
 
     levels = table.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
     room, least = HEAD, 100_001
@@ -315,43 +424,43 @@ def score_texts(
         least = level["c"]
     top = table.filter(F.col("c") >= least).toPandas()  # at most HEAD rows of 24 bytes
     top = top.sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
-    head_h, head_c, head_sub = (top["h"].to_numpy().view(np.uint64).copy(), top["c"].to_numpy().astype(float), top["sub"].to_numpy())
-    head = spark.sparkContext.broadcast((head_h, head_c, head_sub))
+    head = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64).copy(), top["ck"].to_numpy().astype(float), top["c"].to_numpy().astype(float), top["sub"].to_numpy()))
     k = len(GRID)
     sums = [f"s{i}" for i in range(2 * k)] + ["base"]
     sums_type = ", ".join(f"{c} double" for c in sums)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pairs(data, off):
-        """Distinct (document, token) with counts."""
-        _, _, _, doc, h = tokens(data, off)
+        """Distinct (document, token in the document's class) with counts; the classes."""
+        _, _, _, doc, h, kind = classed(data, off)
+        h = h + np.uint64(STEP) * kind[doc].astype(np.uint64)
         order = np.lexsort((h, doc))
         doc, h = doc[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         at = np.flatnonzero(new)
-        return doc[at], h[at], np.diff(np.r_[at, len(h)])
+        return doc[at], h[at], np.diff(np.r_[at, len(h)]), kind
 
     def split_head(h, head_h):
         at = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
         return at, (head_h[at] == h) if len(head_h) else np.zeros(len(h), bool)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh, hc, hs = head.value
+        hh, hk, hc, hs = head.value
         for batch in batches:
             train_all = batch.column("train").to_numpy(zero_copy_only=False)
             for lo, hi, data, off in chunks(batch, "text"):
                 m, train = hi - lo, train_all[lo:hi]
-                doc, h, n = pairs(data, off)
+                doc, h, n, kind = pairs(data, off)
                 size = np.bincount(doc, weights=n, minlength=m).astype(np.int64) + 1
                 at, hit = split_head(h, hh)
                 doc, n, at = doc[hit], n[hit], at[hit]
-                own, loo, base, known = _terms(hc[at], hs[at], n, train[doc], safe, safe_types, discount)
+                own, loo, base, known = _terms(kind[doc], hk[at], hc[at], hs[at], n, train[doc], stat)
                 out = [np.bincount(doc, weights=x, minlength=m) for x in (*own, *loo, base)]
                 one = np.ones(m, np.int64)
-                e = _terms(np.full(m, float(ends)), np.full(m, end_log), one, train, safe, safe_types, discount)
-                for x, y in zip(out, (*e[0], *e[1], e[2]), strict=True):
-                    x += y
+                e = _terms(kind, k_ends[kind], np.full(m, float(ends)), end_log[kind], one, train, stat)
+                for i, (x, y) in enumerate(zip(out, (*e[0], *e[1], e[2]), strict=True)):
+                    x += y + (class_log[kind] if i < len(GRID) else 0.0)
                 known = np.bincount(doc, weights=known, minlength=m).astype(np.int64) + e[3].astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(lo, m), batch.column("train").slice(lo, m), pa.array(size), pa.array(known), *map(pa.array, out)],
@@ -362,7 +471,7 @@ def score_texts(
         hh = head.value[0]
         for batch in batches:
             for lo, hi, data, off in chunks(batch, "text"):
-                doc, h, n = pairs(data, off)
+                doc, h, n, _ = pairs(data, off)
                 rare = ~split_head(h, hh)[1]
                 at = pa.array(doc[rare])
                 yield pa.RecordBatch.from_arrays(
@@ -373,9 +482,8 @@ def score_texts(
     def rare_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, train = batch.column("n").to_numpy().astype(np.int64), batch.column("train").to_numpy(zero_copy_only=False)
-            own, loo, base, known = _terms(
-                batch.column("c").to_numpy().astype(float), batch.column("sub").to_numpy(), n, train, safe, safe_types, discount
-            )
+            k, ck, c, sub = (batch.column(x).to_numpy() for x in ("k", "ck", "c", "sub"))
+            own, loo, base, known = _terms(k, ck.astype(float), c.astype(float), sub, n, train, stat)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("train"), pa.array(np.zeros(len(n), np.int64)), pa.array(known.astype(np.int64)), *map(pa.array, (*own, *loo, base))],
                 names=["id", "train", "n_tokens", "n_known", *sums],
@@ -386,7 +494,7 @@ def score_texts(
         table.filter(F.col("c") < least), "h"
     )
     parts = rows.mapInArrow(heads, out_type).unionByName(
-        rare.select("id", "train", "n", "c", "sub").mapInArrow(rare_terms, out_type)
+        rare.select("id", "train", "n", "k", "ck", "c", "sub").mapInArrow(rare_terms, out_type)
     )
     texts = checkpoint(
         parts.groupBy("id").agg(

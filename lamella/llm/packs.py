@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lamella.session import ship
 
-from ._common import checkpoint, partitions_for, text_buffers
+from ._common import checkpoint, partitions_for, release, text_buffers
 
 PACK = 2 << 20
 
@@ -62,7 +62,9 @@ def packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     out = rows.mapInArrow(pack, f"uid long, ids array<{id_type}>, x binary")
-    return checkpoint(out.repartition(partitions_for(spark), "uid"))
+    out = checkpoint(out.repartition(partitions_for(spark), "uid"))
+    release(spark)
+    return out
 
 
 def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -95,11 +97,12 @@ def round_trip(
     kind: str,
     buckets: int,
     column: str,
+    width: int = 7,
 ) -> DataFrame:
     """``table`` with ``column``: per pack a list of (bucket, answers).
 
     ``items(batch, i)`` gives (keys, payload) of the pack in row i: uint64 keys and a function from indices to a
-    picklable payload. ``judge`` gets a list of (keys, payload) and returns a list of answers of numpy type ``kind``.
+    picklable payload; ``width`` low bytes of a key travel, besides its bucket. ``judge`` gets a list of (keys, payload) and returns a list of answers of numpy type ``kind``.
     """
     spark = table.sparkSession
     names = table.columns
@@ -115,7 +118,7 @@ def round_trip(
                 bs, xs = [], []
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     o = order[edges[b] : edges[b + 1]]
-                    low = np.ascontiguousarray(keys[o].view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+                    low = np.ascontiguousarray(keys[o].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
                     bs.append(b)
                     xs.append(pickle.dumps((low, payload(o)), protocol=5))
                 yield pa.RecordBatch.from_arrays(
@@ -131,8 +134,8 @@ def round_trip(
             got = []
             for _, x in members:
                 low, payload = pickle.loads(x)
-                raw = np.zeros((len(low) // 7, 8), np.uint8)
-                raw[:, :7] = np.frombuffer(low, np.uint8).reshape(-1, 7)
+                raw = np.zeros((len(low) // width, 8), np.uint8)
+                raw[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
                 got.append((raw.view(np.uint64).ravel(), payload))
             answers = judge(got)
             yield pa.RecordBatch.from_arrays(
@@ -142,18 +145,22 @@ def round_trip(
 
     sent = table.mapInArrow(send, "uid long, b int, x binary").repartition(buckets, "b")
     answers = checkpoint(sent.mapInArrow(receive, "uid long, b int, r binary"))
+    release(spark)
     answers = answers.groupBy("uid").agg(F.collect_list(F.struct("b", "r")).alias(column))
     return table.join(answers, "uid", "left").select(*names, column)
 
 
-def counts_at_least_two(got: list) -> list[np.ndarray]:
-    """Whether an item's key occurs twice or more among all items."""
-    keys = np.concatenate([k for k, _ in got])
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    twin = np.zeros(len(s), np.uint8)
-    twin[1:] = s[1:] == s[:-1]
-    twin[:-1] |= twin[1:]
-    out = np.zeros(len(s), np.uint8)
-    out[order] = twin
-    return np.split(out, np.cumsum([len(k) for k, _ in got])[:-1])
+def occurs(least: int) -> Callable:
+    """A judge: whether an item's key occurs ``least`` times or more among all items."""
+
+    def judge(got: list) -> list[np.ndarray]:
+        keys = np.concatenate([k for k, _ in got])
+        order = np.argsort(keys, kind="stable")
+        s = keys[order]
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(s)])
+        out = np.zeros(len(s), np.uint8)
+        out[order] = np.repeat(size >= least, size)
+        return np.split(out, np.cumsum([len(k) for k, _ in got])[:-1])
+
+    return judge

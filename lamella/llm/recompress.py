@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import P2, mix, partitions_for, prefix_sums, read, spans_hash, word_hashes, word_spans
-from .packs import counts_at_least_two, merged, packs, round_trip, unpack
+from .packs import merged, occurs, packs, round_trip, unpack
 
 ROUNDS = 3
 
@@ -111,8 +111,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         w = _suspects(batch, i, buckets, width, got)
         return spans_hash(prefix_sums(got[5], P2), w, w + width, P2), lambda o: None
 
-    table = round_trip(table, symbol_items, counts_at_least_two, "uint8", buckets, "shared")
-    table = round_trip(table, window_items, counts_at_least_two, "uint8", buckets, "twice")
+    table = round_trip(table, symbol_items, occurs(2), "uint8", buckets, "shared")
+    table = round_trip(table, window_items, occurs(2), "uint8", buckets, "twice")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
