@@ -31,7 +31,10 @@ def dedup_lines(
     (id, hash) rows (equi-join that AQE can split where a line is hot), and texts move once, by id.
     """
     lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n")
-    rows = docs.withColumnsRenamed({id_col: "_id", text_col: "_text"})
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rows = docs.select(
+        F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_end")).alias("_rest")
+    )
     long_keys = F.filter(F.transform(lines, _key), lambda k: F.char_length(k) >= min_chars)
     held = rows.select(
         "_id", F.explode(F.array_distinct(F.transform(long_keys, _hashed))).alias("h")
@@ -56,8 +59,8 @@ def dedup_lines(
         .withColumn("_kept", kept)
         .select(
             *[
-                F.array_join("_kept", "\n").alias(text_col) if c == "_text" else F.col(c).alias(id_col if c == "_id" else c)
-                for c in rows.columns
+                F.col("_id").alias(c) if c == id_col else F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("_rest").getField(c).alias(c)
+                for c in docs.columns
             ],
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),

@@ -456,7 +456,7 @@ def score_texts(
                 at, hit = split_head(h, hh)
                 doc, n, at = doc[hit], n[hit], at[hit]
                 own, loo, base, known = _terms(kind[doc], hk[at], hc[at], hs[at], n, train[doc], stat)
-                out = [np.bincount(doc, weights=x, minlength=m) for x in (*own, *loo, base)]
+                out = [np.bincount(doc, weights=x, minlength=m).astype(float) for x in (*own, *loo, base)]
                 one = np.ones(m, np.int64)
                 e = _terms(kind, k_ends[kind], np.full(m, float(ends)), end_log[kind], one, train, stat)
                 for i, (x, y) in enumerate(zip(out, (*e[0], *e[1], e[2]), strict=True)):
