@@ -96,9 +96,9 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path)
     head = F.hex(F.substring("content", 1, 3))
     text = (
-        F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode("content", F.lit("UTF-16")))
-        .when(head == "EFBBBF", F.decode(F.expr("substring(content, 4)"), F.lit("UTF-8")))
-        .otherwise(F.decode("content", F.lit("UTF-8")))
+        F.when(head.startswith("FFFE") | head.startswith("FEFF"), F.decode("content", "UTF-16"))
+        .when(head == "EFBBBF", F.decode(F.expr("substring(content, 4)"), "UTF-8"))
+        .otherwise(F.decode("content", "UTF-8"))
     )
     return raw.select("path", text.alias("xml"))
 
