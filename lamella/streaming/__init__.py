@@ -1 +1,12 @@
-"""streaming."""
+"""Structured Streaming: arriving text tables as lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def arriving_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, n, line) of files as they arrive in a folder; each file is read whole, once."""
+    whole = spark.readStream.option("wholetext", "true").text(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+    return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
