@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lamella.session import ship
+
 from .graph import components as graph_components
 
 KEY = ["vol", "z", "y", "x"]
@@ -44,8 +48,58 @@ def crop_z(vox: DataFrame, low: int, high: int) -> DataFrame:
     return vox.filter(F.col("z").between(max(0, low), high))
 
 
-def label(vox: DataFrame, connectivity: str = "26") -> DataFrame:
-    """(vol, z, y, x, label): islands numbered 1.. per volume by their first voxel in (z, y, x) order."""
+def label_points(zyx: np.ndarray, connectivity: str) -> np.ndarray:
+    """Islands 1.. of distinct points, numbered by their first point in (z, y, x) order."""
+    low = zyx.min(0) - 1
+    span = zyx.max(0) - low + 2
+    key = ((zyx[:, 0] - low[0]) * span[1] + zyx[:, 1] - low[1]) * span[2] + zyx[:, 2] - low[2]
+    order = np.argsort(key)
+    k = key[order]
+    a, b = [], []
+    for o in offsets(connectivity):
+        if o > (0, 0, 0):
+            want = k + (o[0] * span[1] + o[1]) * span[2] + o[2]
+            at = np.minimum(np.searchsorted(k, want), len(k) - 1)
+            hit = np.flatnonzero(k[at] == want)
+            a.append(hit)
+            b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = np.arange(len(k))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    out = np.empty(len(k), np.int64)
+    out[order] = np.unique(root, return_inverse=True)[1] + 1
+    return out
+
+
+def label(vox: DataFrame, connectivity: str = "26", most: int = 20_000_000) -> DataFrame:
+    """(vol, z, y, x, label): islands numbered 1.. per volume by their first voxel in (z, y, x) order.
+
+    Volumes of up to ``most`` voxels are labelled whole, one task each; if any has more, all are labelled as a graph
+    over the voxel table.
+    """
+    largest = vox.groupBy("vol").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        return label_graph(vox, connectivity)
+    ship(vox.sparkSession)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(label=label_points(pdf[["z", "y", "x"]].to_numpy(np.int64), connectivity))
+
+    kinds = ", ".join(f"{c} {vox.schema[c].dataType.simpleString()}" for c in KEY)
+    return vox.select(*KEY).distinct().groupBy("vol").applyInPandas(one, f"{kinds}, label long")
+
+
+def label_graph(vox: DataFrame, connectivity: str = "26") -> DataFrame:
+    """As ``label``, for volumes of any size: components of the neighbour table, no volume in one task."""
     at = F.struct(*[F.col(c) for c in KEY])
     nodes = vox.select(*KEY).distinct()
     half = [o for o in offsets(connectivity) if o > (0, 0, 0)]

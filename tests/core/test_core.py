@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lamella import cli
 from lamella.functions import ctf, orient, text
-from lamella.operators import dedup, filaments, split, tilts, voxels
+from lamella.operators import curation, dedup, filaments, split, tilts, voxels
 from lamella.plans import binder
 from lamella.recon import volumes
 from lamella.sources import logs, mrc, star
@@ -104,10 +105,31 @@ def test_islands(spark):
     cells = [(0, 0, 0), (0, 0, 1), (0, 1, 1), (3, 3, 3), (3, 4, 4), (6, 6, 6)]
     lab = voxels.label(spark.createDataFrame([("v", *c) for c in cells], "vol string, z int, y int, x int"), "26")
     assert {(r["z"], r["y"], r["x"]): r["label"] for r in lab.collect()} == dict(zip(cells, [1, 1, 1, 2, 2, 3]))
+    graph = voxels.label_graph(lab, "26")
+    assert {tuple(r) for r in graph.collect()} == {tuple(r) for r in lab.select("vol", "z", "y", "x", "label").collect()}
     kept = voxels.keep_islands(lab, F.col("size") == 2)
     assert {r["label"] for r in kept.collect()} == {1} and kept.count() == 2
 
 
+def test_curation(spark):
+    cells = [(0, 0, 0), (0, 0, 1), (3, 3, 3), (5, 5, 5), (5, 5, 6), (5, 5, 7)]
+    mask = spark.createDataFrame([("v", *c) for c in cells], "vol string, z int, y int, x int")
+    state = curation.Curation.start(mask, (8, 8, 8))
+    ids = lambda s: sorted(r["label"] for r in s.chosen.collect())
+    assert ids(state) == [1, 2, 3] and ids(state.at_least(2)) == [1, 3] and ids(state.within(2, 5)) == [2, 3]
+    assert ids(state.at_least(2).invert()) == [2] and ids(state.toggle(state.chosen.filter("label = 3"))) == [1, 2]
+    assert {r["label"] for r in state.at_least(2).result().collect()} == {1, 2} and ids(state.select_none()) == []
+
+
+def test_command_line(spark, tmp_path):
+    df = spark.createDataFrame([(i, 100.0 * (i % 3), 0.0, 0.0, "m", 1.0, 5.0 - i) for i in range(5)], "_row long, rlnCoordinateX double, rlnCoordinateY double, rlnCoordinateZ double, rlnMicrographName string, rlnPixelSize double, rlnLogLikeliContribution double")
+    star.write_star({"particles": df}, f"{tmp_path}/a.star")
+    cli.main(["dedup", f"{tmp_path}/a.star", f"{tmp_path}/b.star", "--threshold", "50"])
+    assert star.read_star(spark, f"{tmp_path}/b.star").count() == 3
+    cli.main(["scale", f"{tmp_path}/a.star", f"{tmp_path}/c.star", "--input-pixel", "2", "--output-pixel", "1"])
+    assert star.read_star(spark, f"{tmp_path}/c.star").agg(F.max("rlnCoordinateX")).first()[0] == 400.0
+
+
 def test_filament_cleaning_and_tracing(spark):
     rows = [(i, "m", 1, 40.0 * i, 0.0, 0.0, 90.0, 180.0) for i in range(40)]
     rows[20] = (20, "m", 1, 800.0, 200.0, 0.0, 30.0, 180.0)
