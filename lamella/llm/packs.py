@@ -1,7 +1,6 @@
 """Texts packed by the megabyte, and a round trip of hashed items between packs and buckets.
 
-``packs`` stores texts once, compressed, partitioned by pack (the partitioning outlives the checkpoint, so answers join
-back without moving texts). ``round_trip`` deals each pack's items to buckets by hash, several thousand to a blob,
+``packs`` stores texts once, compressed. ``round_trip`` deals each pack's items to buckets by hash, several thousand to a blob,
 lets ``judge`` see all items of a bucket together, and returns one number an item to the pack, in the pack's order.
 """
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lamella.session import ship
 
-from ._common import checkpoint, partitions_for, release, text_buffers
+from ._common import checkpoint, release, text_buffers
 
 PACK = 2 << 20
 
@@ -62,9 +61,7 @@ def packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     out = rows.mapInArrow(pack, f"uid long, ids array<{id_type}>, x binary")
-    out = checkpoint(out.repartition(partitions_for(spark), "uid"))
-    release(spark)
-    return out
+    return checkpoint(out)
 
 
 def unpack(x: bytes) -> tuple[np.ndarray, np.ndarray]:

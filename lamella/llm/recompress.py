@@ -149,5 +149,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (
+  SELECT doc_id, s, md5(array_to_string(w[s : s + 34], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS s FROM w WHERE len(w) >= 35)),
+r AS (SELECT k FROM k GROUP BY k HAVING count(*) > 1),
+h AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + 35)) AS p FROM k JOIN r ON k.k = r.k)),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+g AS (
+  SELECT p.doc_id, count(h.p) AS n_removed, coalesce(string_agg(p.word, ' ' ORDER BY p.p) FILTER (h.p IS NULL), '') AS kept
+  FROM p LEFT JOIN h ON p.doc_id = h.doc_id AND p.p = h.p GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(g.n_removed, 0) AS n_removed, sha256(coalesce(g.kept, '')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id
+"""
+
 QUERIES = {"op5_substring_dedup": op5_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_substring_dedup": OP5_SQL}

@@ -276,5 +276,20 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+x AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM t WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS m FROM x GROUP BY k),
+c AS (SELECT x.doc_id, x.i, lag(x.i) OVER (PARTITION BY x.doc_id ORDER BY x.i) AS p FROM x JOIN f ON x.k = f.k WHERE f.m < x.doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN i - p <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+s AS (SELECT r.doc_id, a, b, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0) + 1,
+        2 * (a - coalesce(lag(b) OVER (PARTITION BY r.doc_id ORDER BY a), 0))) AS piece FROM r JOIN t ON r.doc_id = t.doc_id),
+d AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(piece, '' ORDER BY a) AS head, max(b) AS last FROM s GROUP BY doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(d.n_removed, 0) AS BIGINT) AS n_removed, coalesce(d.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(d.head, '') || substr(t.h, 2 * coalesce(d.last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN d ON t.doc_id = d.doc_id
+"""
+
 QUERIES = {"op8_suffix_array_dedup": op8_suffix_array_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op8_suffix_array_dedup": OP8_SQL}
