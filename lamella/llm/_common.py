@@ -46,10 +46,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans that a checkpoint has replaced; it does so when the JVM collects them."""
-    for _ in range(2):  # first the JVM learns what Python no longer holds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    gc.collect()
+    time.sleep(1.2)  # the gateway tells the JVM within a second what Python no longer holds
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -155,7 +155,8 @@ def link_components(
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), pa.array(size.astype(np.int64)), pa.array(c)], names=["id", "n", "c"])
 
     sized = checkpoint(table.mapInArrow(digest, f"id {id_type}, n long, c long"))
-    table = round_trip(table, lambda batch, i: (sets_of(batch, i)[1], lambda o: None), occurs(COMMON), "uint8", buckets, "common", 5)
+    table = round_trip(table, lambda batch, i: (sets_of(batch, i)[1], lambda o: None), occurs(COMMON), "uint8", buckets, "common", 3)  # chance meetings of short keys do not add up to COMMON
+    release(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # one signature set a class and partition
@@ -177,7 +178,7 @@ def link_components(
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     o = order[edges[b] : edges[b + 1]]
                     local, index = np.unique(d[o], return_inverse=True)
-                    low = np.ascontiguousarray(s[o].view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                    low = np.ascontiguousarray(s[o].view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
                     bs.append(b)
                     xs.append(pickle.dumps((low, c[local], need[local].astype(np.int32), index.astype(np.uint16 if len(local) < 65536 else np.uint32)), protocol=5))
                 yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(xs, pa.binary())], names=["b", "x"])
@@ -188,7 +189,7 @@ def link_components(
             for x in batch.column("x").to_pylist():
                 low, c, need, index = pickle.loads(x)
                 raw = np.zeros((len(index), 8), np.uint8)
-                raw[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+                raw[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
                 sig.append(raw.view(np.uint64).ravel())
                 cls.append(c[index])
                 least.append(need[index])

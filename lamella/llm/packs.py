@@ -102,6 +102,7 @@ def round_trip(
     picklable payload; ``width`` low bytes of a key travel, besides its bucket. ``judge`` gets a list of (keys, payload) and returns a list of answers of numpy type ``kind``.
     """
     spark = table.sparkSession
+    release(spark)  # of what made ``table``
     names = table.columns
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def round_trip(
 
     sent = table.mapInArrow(send, "uid long, b int, x binary").repartition(buckets, "b")
     answers = checkpoint(sent.mapInArrow(receive, "uid long, b int, r binary"))
-    release(spark)
+    del sent
     answers = answers.groupBy("uid").agg(F.collect_list(F.struct("b", "r")).alias(column))
     return table.join(answers, "uid", "left").select(*names, column)
 
