@@ -157,8 +157,9 @@ class Lattice:
         edges = np.flatnonzero(np.diff(widths[order])) + 1
         for group in np.split(order, edges):
             width = int(widths[group[0]]) if len(group) else 0
-            for k in range(0, len(group) if width else 0, 1 << 14):
-                g = group[k : k + (1 << 14)]
+            block = max(1 << 10, (1 << 18) // max(width, 1))
+            for k in range(0, len(group) if width else 0, block):
+                g = group[k : k + block]
                 span = (starts[g][:, None] + np.arange(width)).ravel()
                 arcs = self.arcs(buf[span], np.arange(len(g)) * width, width)
                 alpha = self.forward(arcs, len(g), width)
@@ -177,6 +178,19 @@ class Lattice:
         return (out, counts) if counts is not None else out
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Batches joined to about ``rows`` rows, so that words of one width are many."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tokens(data: np.ndarray, off: np.ndarray):
     """(lower-cased bytes, starts, ends, document, hash) of words."""
     data = lower_bytes(data)
@@ -356,7 +370,7 @@ def score_texts(
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, total = Lattice(hashes, logs), np.zeros((CLASSES, len(hashes)))
-        for batch in batches:
+        for batch in gathered(batches):
             weight = np.stack([batch.column(c).to_numpy() for c in cs], 1).astype(float)
             on = weight.sum(1) > 0
             buf, off = _marked(batch.column("w").filter(pa.array(on)))
@@ -376,7 +390,7 @@ def score_texts(
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = [Lattice(hashes, x) for x in trained]
-        for batch in batches:
+        for batch in gathered(batches):
             n = np.stack([batch.column(c).to_numpy() for c in cs], 1)
             mask = batch.column("m").to_numpy()
             for k in range(CLASSES):
