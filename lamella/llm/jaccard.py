@@ -274,6 +274,7 @@ def link_components(
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]), pa.array([g[end[j] - size[j] : end[j]].tobytes() for j in keep], pa.binary())], names=["c", "x"])
 
     sets = checkpoint(table.mapInArrow(fetch, "c long, x binary").join(wanted, "c", "left_semi").dropDuplicates(["c"]))
+    release(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, held = None, None

@@ -79,7 +79,8 @@ def merged(batch: pa.RecordBatch, i: int, column: str, keys: np.ndarray, buckets
     edges = np.searchsorted(to[order], np.arange(buckets + 1))
     for part in batch.column(column)[i].as_py() or []:
         b = part["b"]
-        out[order[edges[b] : edges[b + 1]]] = np.frombuffer(part["r"], kind)
+        n = int(edges[b + 1] - edges[b])
+        out[order[edges[b] : edges[b + 1]]] = np.frombuffer(pa.decompress(part["r"], n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
     return out
 
 
@@ -137,7 +138,7 @@ def round_trip(
                 got.append((raw.view(np.uint64).ravel(), payload))
             answers = judge(got)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([u for u, _ in members], pa.int64()), pa.array([b] * len(members), pa.int32()), pa.array([a.astype(kind).tobytes() for a in answers], pa.binary())],
+                [pa.array([u for u, _ in members], pa.int64()), pa.array([b] * len(members), pa.int32()), pa.array([pa.compress(a.astype(kind).tobytes(), codec="zstd", asbytes=True) for a in answers], pa.binary())],
                 names=["uid", "b", "r"],
             )
 
