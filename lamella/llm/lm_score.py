@@ -267,7 +267,10 @@ def _terms(k, ck, c, sub, n, train, stat: dict):
         return np.maximum(own - stat["k_discount"][k], 0) / stat["k_total"][k] + stat["k_back"][k] * every
 
     x, q = p(ck, c), p(ck - n, c - n)[train]
-    own = [rising(a * x, n) for a in GRID]
+    own = [rising(np.maximum(a * x, 1e-300), n) for a in GRID]
+    tiny = x < 1e-290  # long unseen words: their first factor is known by its logarithm
+    for a, y in zip(GRID, own, strict=True):
+        y[tiny] += np.log(a * stat["k_back"][k[tiny]] * stat["back"]) + sub[tiny] - np.log(1e-300)
     out = []
     for a in GRID:
         y = np.zeros(len(c))
