@@ -48,7 +48,8 @@ def top_k(
     gets all. Repeated rows are candidates each; a repeated query row (same id and vector) is answered once.
 
     Voronoi cells around ``pivots`` rows chosen by hash; per cell its size, radius R and (k+1)-th smallest distance r
-    bound every product: q.p - |q| r holds for k other members, and none exceeds q.p + |q| R. A query goes to cells
+    of distinct ids (the nearest row of each) bound every product: q.p - |q| r holds for rows of k other ids, as solving
+    drops all rows of the query's own, and none exceeds q.p + |q| R. A query goes to cells
     whose upper bound reaches its best lower bound, and no other. Cells larger than ``BLOCK`` are cut into blocks by a
     hash, so a cell that holds a third of all rows is many tasks; each block is solved alone, and ranks merge.
     """
@@ -90,20 +91,19 @@ def top_k(
     cells = checkpoint(rows.mapInArrow(assign, f"id {id_type}, q boolean, g long, d double, x binary"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The k + 1 smallest distances of each cell in a partition."""
-        g, d = np.zeros(0, np.int64), np.zeros(0)
+        """Of each cell in a partition, the k + 1 ids that come nearest, with their smallest distances."""
+        held = None
         for batch in batches:
-            g, d = np.r_[g, batch.column("g").to_numpy()], np.r_[d, batch.column("d").to_numpy()]
-            order = np.lexsort((d, g))
-            g, d = g[order], d[order]
-            first = np.searchsorted(g, g, "left")
-            keep = np.arange(len(g)) - first <= k
-            g, d = g[keep], d[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d)], names=["g", "d"])
-
-    near = cells.select("g", "d").mapInArrow(nearest, "g long, d double").withColumn(
-        "r", F.row_number().over(Window.partitionBy("g").orderBy("d"))
-    )
+            part = pa.table(batch)
+            held = (part if held is None else pa.concat_tables([held, part])).group_by(["g", "id"]).aggregate([("d", "min")])
+            held = held.rename_columns(["g", "id", "d"]).sort_by([("g", "ascending"), ("d", "ascending")])
+            g = held.column("g").to_numpy()
+            held = held.filter(pa.array(np.arange(len(g)) - np.searchsorted(g, g, "left") <= k))
+        if held is not None:
+            yield from held.select(["g", "id", "d"]).combine_chunks().to_batches()
+
+    near = cells.select("g", "id", "d").mapInArrow(nearest, f"g long, id {id_type}, d double").groupBy("g", "id").agg(F.min("d").alias("d"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy("d")))
     kth = {r["g"]: r["d"] for r in near.filter(F.col("r") == k + 1).collect()}
     cell = cells.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")).collect()  # ``pivots`` rows
     names = np.array(sorted(r["g"] for r in cell), np.int64)
@@ -137,7 +137,7 @@ def top_k(
 
     cut = F.create_map(*[F.lit(int(x)) for pair in zip(names, blocks, strict=True) for x in pair])
     stored = cells.select("id", F.lit(False).alias("q"), "g", F.pmod(F.xxhash64(F.lit(9), "id"), cut[F.col("g")]).alias("s"), "x")
-    asked = cells.select("id", "q", "g", "x").mapInArrow(send, f"id {id_type}, q boolean, g long, s long, x binary")
+    asked = cells.filter("q").dropDuplicates(["id", "x"]).select("id", "q", "g", "x").mapInArrow(send, f"id {id_type}, q boolean, g long, s long, x binary")
     tasks = partitions_for(spark)
     work = stored.unionByName(asked).repartition(tasks, "g", "s").sortWithinPartitions("g", "s", "q")
 

@@ -202,6 +202,14 @@ def test_top_k(spark):
     assert knn.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_top_k_repeated_query_id(spark):
+    rows = [(50, [1.0, 0.0])] * 6 + [(i, [230 / 256, 0.0]) for i in range(1, 6)] + [(60 + i, [-1.0, i / 256]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for pivots in (1, 2, 7, 64):
+        got = [(r["rank"], r["vec_id"], r["score"]) for r in knn.top_k(df, F.col("vec_id") == 50, pivots=pivots).collect()]
+        assert sorted(got) == [(i, i, 256 * 230) for i in range(1, 6)]
+
+
 def test_lm_base_and_probability(docs, rows, empty):
     learn = F.col("doc_id") % 3 != 0
     got = by_id(lm_score.score_texts(docs, learn))
