@@ -95,10 +95,15 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """Rows of ``docs`` that are not contaminated, with their columns."""
-    bad = contamination(docs, items, id_col, **kw).filter("contaminated").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """Rows of ``docs`` that are not contaminated, with their columns.
+
+    Each row is judged by its own text, whatever its id: null and repeated ids do not make several rows one document.
+    """
+    key = F.md5(F.col(text_col))
+    texts = docs.filter(F.col(text_col) != "").select(key.alias("_key"), F.col(text_col))
+    bad = contamination(texts, items, "_key", text_col, **kw).filter("contaminated").select(F.col("_key").alias("_bad"))
+    return docs.join(bad, key == F.col("_bad"), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

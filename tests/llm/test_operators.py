@@ -339,3 +339,19 @@ def test_pipeline(spark, tmp_path):
             assert set(left) == {i for i, (_, c) in comps.items() if i == c}
     ids = {r["doc_id"] for r in now.collect()}
     assert 8 not in ids and {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(0), "en"), (None, text(1), "en"), (None, text(1), "en"), (None, None, "en"), (None, None, "en"), (None, " \n", "en")]
+    rows += [(7, text(2), "en"), (7, text(2), "en"), (7, text(3), "de"), (None, text(4), "en"), (9, text(4), "en"), (8, text(4), None), (3, "", "en"), (3, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = Counter(tuple(r) for r in pipeline.near_duplicates(spark, docs, str(tmp_path)).collect())
+    once = [(None, text(0), "en"), (None, text(1), "en"), (7, text(2), "en"), (7, text(3), "de"), (8, text(4), None)]
+    assert got == Counter(once + [r for r in rows if not (r[1] or "").strip()])
+
+    part = lambda a, k: " ".join(words(text(a))[k : k + 10])
+    spark.createDataFrame([(k, part(1, 10 * k)) for k in range(2)] + [(2, part(2, 0)), (3, part(3, 0))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = Counter(tuple(r) for r in pipeline.decontamination(spark, docs, str(tmp_path)).collect())
+    assert got == Counter(r for r in rows if r[1] != text(1))
