@@ -309,6 +309,27 @@ def test_restoration():
     assert r.word("pa7h3t1c") == "pathetic"
 
 
+def test_restoration_of_long_and_spaced_text():
+    text = ("you are such a scumbag and the idiot was pathetic and stupid " * 200).encode()
+    code = np.full(256, 26)
+    code[97:123] = np.arange(26)
+    c = np.r_[26, 26, code[np.frombuffer(text, np.uint8)], 26]
+    counts = np.full((27, 27, 27), 0.01)
+    np.add.at(counts, (np.where(c[1:-1] == 26, 26, c[:-2]), c[1:-1], c[2:]), 1)
+    r = toxicity.Restorer(np.log(counts / counts.sum(-1, keepdims=True)))
+
+    def found(text, word):
+        """Whether the features of ``text`` have all those of ``word``."""
+        of = lambda x: set(toxicity.features(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)]), r)[2].tolist())
+        return of(word) <= of(text)
+
+    assert found("such a s c u m b a g", "scumbag") and found("y o u i d i o t", "idiot")
+    assert found(" ".join("youarestupid" * 20 + "scumbag"), "scumbag")  # beyond 200 letters
+    assert found(" ".join("the" + "idiot" + "the"), "idiot")
+    assert found("_".join(["the", "stupid"] * 8 + ["sc.um.bag"]), "scumbag")  # a token beyond 60 bytes
+    assert found("the " * 3 + "1d10t" + "!" * 80, "idiot")
+
+
 def test_licenses(spark, docs, rows, empty):
     mit = licenses.TEMPLATES["mit"]
     more = spark.createDataFrame([(1000, f"text\n{mit}\nmore {mit}"), (1001, mit.upper()), (1002, None), (1002, None)], "doc_id long, text string")
