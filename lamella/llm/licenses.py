@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, read
+from lamella.session import ship
+
+from ._common import BYTE, P1, P2, chunks, lower_bytes, mix, prefix_sums, read, spans_hash, word_spans
 
 # Wordings of public licence notices.
 TEMPLATES = {
@@ -22,17 +30,135 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "public-domain": "This is free and unencumbered software released into the public domain.",
 }
-_OTHER = "".join(map(chr, [*range(1, 48), *range(58, 65), *range(91, 97), *range(123, 128)]))
 
 
-def _words(c: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits and of anything outside ASCII."""
-    return F.array_remove(F.split(F.translate(c, _OTHER + UPPER, " " * len(_OTHER) + LOWER), " "), "")
+def full_texts() -> dict[str, str]:
+    """Whole licence texts, and each of their paragraphs of 20 words or more for the short ones."""
+    out = {}
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, text = path.stem.lower(), path.read_text()
+        out[f"{name}-text"] = text
+        if len(text) < 2000:
+            long = [x for x in re.split(r"\n\s*\n", text) if len(x.split()) >= 20]
+            out |= {f"{name}-paragraph-{i}": x for i, x in enumerate(long, 1)}
+    return out
 
 
-def _bigrams(w: Column) -> Column:
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+_word = np.zeros(256, bool)
+_word[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+
+
+def bigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first word's start, last word's start) of the pairs of neighbouring words of each text.
+
+    Words are lower-cased runs of ASCII letters and digits and of anything outside ASCII.
+    """
+    data = lower_bytes(data)
+    s, e, doc = word_spans(np.where(_word[data], data, np.uint8(32)), off)
+    h = spans_hash(prefix_sums(BYTE[data], P1), s, e, P1)
+    on = np.flatnonzero(doc[1:] == doc[:-1]) if len(s) else np.zeros(0, np.int64)
+    return mix(h[on] * np.uint64(P2) + h[on + 1]), doc[on], s[on], s[on + 1]
+
+
+class Templates:
+    """Bigrams of all templates: sorted hashes, and for each the templates that hold it."""
+
+    def __init__(self, templates: dict[str, str]):
+        self.names, sets = [], []
+        for name, body in sorted(templates.items()):
+            raw = np.frombuffer(body.encode(), np.uint8)
+            g = np.unique(bigrams(raw, np.array([0, len(raw)]))[0])
+            if len(g):
+                self.names.append(name)
+                sets.append(g)
+        self.sets, self.m = sets, np.array([len(g) for g in sets], np.int64)
+        self.grams, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), self.m)
+        order = np.argsort(at, kind="stable")
+        self.owner, self.first = owner[order], np.searchsorted(at[order], np.arange(len(self.grams) + 1))
+        self.maybe = np.zeros(1 << 16, bool)
+        self.maybe[(self.grams >> np.uint64(48)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, number) of the hashes that are a template's."""
+        near = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.grams, h[near]), len(self.grams) - 1)
+        ok = self.grams[at] == h[near]
+        return near[ok], at[ok]
+
+
+def _windows(h: np.ndarray, inside: np.ndarray, m: int, threshold: float) -> list[tuple[float, int, int]]:
+    """(dice, first, last) of the best window at each start among the bigrams ``h``; a best window starts and ends ``inside``."""
+    _, inverse = np.unique(h, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    before = np.full(len(h), -1, np.int64)
+    same = inverse[order[1:]] == inverse[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    most, out = (2 - threshold) / threshold * m, []
+    at = np.flatnonzero(inside)
+    least = int(np.ceil(threshold * m / (2 - threshold) - 1e-9))
+    for i in at[: max(len(at) - least + 1, 0)].tolist():
+        size = int(most) + 2
+        while True:
+            fresh = before[i : i + size] < i
+            n = np.cumsum(fresh)
+            if n[-1] > most or i + size >= len(h):
+                break
+            size *= 2
+        both = np.cumsum(fresh & inside[i : i + size])
+        dice = np.where(n <= most, 2.0 * both / (n + m), 0.0)
+        j = int(dice.argmax())
+        if dice[j] >= threshold:
+            out.append((float(dice[j]), i, i + j))
+    return out
+
+
+def _scan(t: Templates, threshold: float, data: np.ndarray, off: np.ndarray) -> dict[int, list[tuple[float, str]]]:
+    """document -> (dice, template) of its matches."""
+    h, doc, s, last = bigrams(data, off)
+    found: dict[int, list] = {}
+    pos, gram = t.find(h) if len(t.grams) else (np.zeros(0, np.int64),) * 2
+    if not len(pos):
+        return found
+    # templates of which a document holds enough distinct bigrams for any unit or window of it
+    once = np.unique(doc[pos] * len(t.grams) + gram)
+    d, g = np.divmod(once, len(t.grams))
+    times = np.diff(t.first)[g]
+    which = t.owner[np.repeat(t.first[g], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+    pairs, both = np.unique(np.repeat(d, times) * len(t.m) + which, return_counts=True)
+    least = threshold * t.m / (2 - threshold) - 1e-9
+    pairs = pairs[both >= least[pairs % len(t.m)]]
+    newline = np.cumsum(data == 10)
+    for i in np.unique(pairs // len(t.m)).tolist():
+        a, b = np.searchsorted(doc, [i, i + 1])
+        here, x = found.setdefault(i, []), h[a:b]
+        row, end = newline[s[a:b]], newline[last[a:b]]
+        candidates = sorted((pairs[pairs // len(t.m) == i] % len(t.m)).tolist(), key=lambda k: (-t.m[k], k))
+        inside = {k: np.isin(x, t.sets[k]) for k in candidates}
+        free = np.ones(len(x), bool)  # bigrams that no match covers yet
+        size = len(np.unique(x))
+        whole = [(k, 2.0 * len(np.unique(x[inside[k]])) / (size + t.m[k])) for k in candidates]
+        here += [(v, t.names[k]) for k, v in whole if v >= threshold]
+        taken = bool(here)
+        several = (data[off[i] : off[i + 1]] == 10).any()
+        for line in np.unique(row[np.any([*inside.values()], axis=0) & (row == end)]).tolist() if several else []:
+            lo, hi = np.searchsorted(row, [line, line + 1])
+            hi -= int(end[hi - 1] != line)
+            n = len(np.unique(x[lo:hi]))
+            for k in candidates:
+                v = 2.0 * len(np.unique(x[lo:hi][inside[k][lo:hi]])) / (n + t.m[k])
+                if v >= threshold:
+                    here.append((v, t.names[k]))
+                    free[max(lo - 1, 0) : hi + 1] = False
+        for k in candidates if not taken else []:
+            edge = np.flatnonzero(np.diff(np.r_[0, free.view(np.int8), 0]))
+            got = [(v, lo + p, lo + q) for lo, hi in zip(edge[::2], edge[1::2], strict=True) if inside[k][lo:hi].sum() >= least[k]
+                   for v, p, q in _windows(x[lo:hi], inside[k][lo:hi], int(t.m[k]), threshold)]
+            for v, p, q in sorted(got, key=lambda w: (-w[0], w[1])):
+                if free[p : q + 1].all():
+                    here.append((v, t.names[k]))
+                    free[p : q + 1] = False
+    return found
 
 
 def scan_licenses(
@@ -44,55 +170,35 @@ def scan_licenses(
 ) -> DataFrame:
     """(id, license, dice, n_matches) for every row of ``docs``.
 
-    A text's units are the whole text and each of its lines. A unit matches a template if the Dice coefficient of
-    their sets of word bigrams is at least ``threshold``; ``n_matches`` counts matching (unit, template) pairs,
-    ``license`` is the template of the best (ties: the first name), null without a match; ``dice`` is its value, 0
-    without one. Null and empty texts match nothing; a text of one line is one unit; repeated rows are rows of
-    their own. ``templates`` is a fixed dictionary held on the driver.
-
-    With threshold t, |A| of a unit must lie in [t/(2-t) |B|, (2-t)/t |B|]: units that no template's bounds admit are
-    dropped before any bigram is made, and the join compares a unit only with templates that admit it. Lines never
-    leave their row's task, as matches are found with a broadcast of the templates' bigrams.
+    A text's units are the whole text, each of its lines, and, where these match nothing, windows of words that may
+    cross line breaks: notices that are wrapped, stand within a line or are part of a longer file. A unit matches a
+    template if the Dice coefficient of their sets of word bigrams is at least ``threshold``; ``n_matches`` counts
+    matching (unit, template) pairs, ``license`` is the template of the best (ties: the first name), null without a
+    match; ``dice`` is its value, 0 without one. Windows do not overlap each other or matching lines; templates with
+    more bigrams come first, then better windows. Null and empty texts match nothing; a text of one line is one unit;
+    repeated rows are rows of their own. ``templates`` is a fixed dictionary held on the driver; by default
+    ``TEMPLATES`` and the whole texts of ``full_texts``.
+
+    A match of a template of m bigrams shares t/(2-t) m of them at least: texts that do not are dropped first. Bigrams
+    are compared by 64-bit hashes. A best window starts and ends with the template's bigrams; from each such start
+    all ends are weighed up to (2-t)/t m distinct bigrams.
     """
-    templates = TEMPLATES if templates is None else templates
-    spark = docs.sparkSession
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    t = (
-        spark.createDataFrame(sorted(templates.items()), "name string, body string")
-        .select("name", _bigrams(_words(F.col("body"))).alias("b"))
-        .select("name", F.size("b").alias("m"), "b")
-        .filter("m > 0")
-    )
-    sizes = [r["m"] for r in t.select("m").collect()]
-    least, most = (min(sizes) * low, max(sizes) * high) if sizes else (1.0, 0.0)
-    grams = t.select("name", "m", F.explode("b").alias("g"))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), F.monotonically_increasing_id().alias("_row"))
-    lines = F.split("_t", "\n")
-    units = (
-        rows.select("_row", F.posexplode(F.when(F.size(lines) > 1, F.concat(F.array("_t"), lines)).otherwise(lines)).alias("u", "line"))
-        .filter(F.char_length("line") >= 3)
-        .withColumn("w", _words(F.col("line")))
-        .filter(F.size("w") > least)  # a unit has fewer distinct bigrams than words
-        .select("_row", "u", _bigrams(F.col("w")).alias("b"))
-        .select("_row", "u", F.size("b").alias("n"), "b")
-        .filter((F.col("n") >= least) & (F.col("n") <= most))
-    )
-    hits = (
-        units.select("_row", "u", "n", F.explode("b").alias("g"))
-        .join(F.broadcast(grams), "g")
-        .filter((F.col("n") >= low * F.col("m")) & (F.col("n") <= high * F.col("m")))
-        .groupBy("_row", "u", "name")
-        .agg((2.0 * F.count(F.lit(1)) / (F.first("n") + F.first("m"))).alias("dice"))
-        .filter(F.col("dice") >= threshold)
-        .groupBy("_row")
-        .agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct((-F.col("dice")).alias("d"), "name")).alias("best"))
-    )
-    return rows.select("_id", "_row").join(hits, "_row", "left").select(
-        F.col("_id").alias(id_col),
-        F.col("best.name").alias("license"),
-        F.coalesce(-F.col("best.d"), F.lit(0.0)).alias("dice"),
-        F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
-    )
+    ship(docs.sparkSession)
+    t = Templates(TEMPLATES | full_texts() if templates is None else templates)
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, dice, n = [None] * batch.num_rows, np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            for lo, _, data, off in chunks(batch, "_t"):
+                for i, here in _scan(t, threshold, data, off).items():
+                    if here:
+                        v, best[lo + i] = min((-v, name) for v, name in here)
+                        dice[lo + i], n[lo + i] = -v, len(here)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(best, pa.string()), pa.array(dice), pa.array(n)], names=["_id", "license", "dice", "n_matches"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    return rows.mapInArrow(scan, f"_id {id_type}, license string, dice double, n_matches long").withColumnRenamed("_id", id_col)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

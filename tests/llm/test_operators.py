@@ -339,6 +339,26 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan_licenses(docs).count() == len(rows) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_in_any_layout(spark):
+    import textwrap
+
+    t, full = licenses.TEMPLATES, licenses.full_texts()
+    story = lambda k: " ".join(f"tale{k}x{j}" for j in range(80))
+    wrap = lambda x, n: "\n".join(textwrap.wrap(x, n))
+    cases = {
+        "gpl-3.0-header": f"{story(0)}\n{wrap(t['gpl-3.0-header'], 72)}\n{story(1)}",
+        "apache-2.0-header": f"{story(0)}\n{wrap(t['apache-2.0-header'], 76)}\n{story(1)}",
+        "mit": f"{story(0)} {t['mit']} {story(1)}",
+        "mit-paragraph-1": f"{story(2)}\n" + " ".join(full["mit-paragraph-1"].split()),
+        "mit-text": f"Copyright 2001 Somebody\n\n{full['mit-text']}",
+        "gpl-3-text": f"{story(3)}\n{full['gpl-3-text']}\n{story(4)}",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases.values())) + [(90, story(5)), (91, f"{t['mit']} " * 3)], "doc_id long, text string")
+    got = by_id(licenses.scan_licenses(docs))
+    assert {i: got[i]["license"] for i in range(len(cases))} == dict(enumerate(cases))
+    assert (got[2]["dice"], got[2]["n_matches"], got[90]["n_matches"]) == (1.0, 1, 0)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, t, "en", ["a", "b"][i % 2], len(t or "")) for i, t in enumerate(texts())]
