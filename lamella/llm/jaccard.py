@@ -6,10 +6,10 @@ the hash of what it holds there. A set is regular if fewer than m of its partiti
 always shares a signature that is not empty. Sets that are not (a fraction of a per cent) are dealt again with
 another seed, and so on; after ``SEEDS`` seeds their empty signature joins in.
 
-Dropping features from the domain never raises a distance. Features that ``COMMON`` documents or more hold (counted
-exactly) are left out of the signatures of sets that have enough others, for both sets of a pair or for neither: sets
-near the limit send both kinds. So fewer than ``COMMON`` classes share such a signature, whatever passage a third of
-all documents holds. A pair must also share at least m less its empty partitions, which rules out most candidates.
+Dropping features from the domain never raises a distance. Features that ``COMMON`` documents or more hold are
+left out of the signatures of sets that have enough others, for both sets of a pair or for neither: sets near the limit send both kinds. So fewer than ``COMMON`` classes share such a signature, whatever passage a third of
+all documents holds. (Counts are by hash; their width follows the number of shingles, so that chance meetings do not
+add up to ``COMMON``.) A pair must also share at least m less its empty partitions, which rules out most candidates.
 """
 
 from __future__ import annotations
@@ -119,6 +119,11 @@ def signatures(doc: np.ndarray, g: np.ndarray, size: np.ndarray, rare: np.ndarra
     return np.concatenate(out_d), np.concatenate(out_s), need
 
 
+def key_width(shingles: int, buckets: int) -> int:
+    """Bytes of a key, 3 to 7, with which a value has half a shingle of its bucket at most by chance."""
+    return next((w for w in range(3, 7) if shingles <= buckets << (8 * w - 1)), 7)
+
+
 def link_components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -155,7 +160,8 @@ def link_components(
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten(), pa.array(size.astype(np.int64)), pa.array(c)], names=["id", "n", "c"])
 
     sized = checkpoint(table.mapInArrow(digest, f"id {id_type}, n long, c long"))
-    table = round_trip(table, lambda batch, i: (sets_of(batch, i)[1], lambda o: None), occurs(COMMON), "uint8", buckets, "common", 3)  # chance meetings of short keys do not add up to COMMON
+    width_of_keys = key_width(sized.agg(F.sum("n")).collect()[0][0] or 0, buckets)
+    table = round_trip(table, lambda batch, i: (sets_of(batch, i)[1], lambda o: None), occurs(COMMON), "uint8", buckets, "common", width_of_keys)
     release(spark)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
