@@ -40,7 +40,10 @@ from ._common import (
 HEAD = 1 << 18
 #: concentrations tried
 GRID = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 1e6)
-MAX_PIECE = 16
+#: bytes of the vocabulary's longest piece
+MAX_PIECE = 25
+#: longest words whose arcs are all held at once
+STRETCH = 64
 FLOOR = math.log(1e-9)
 #: classes of texts, and buckets of short words that tell them apart
 CLASSES, SHORT = 4, 256
@@ -103,11 +106,11 @@ class Lattice:
         out[near[ok]] = self.order[at[ok]]
         return out
 
-    def arcs(self, buf: np.ndarray, start: np.ndarray, width: int) -> list[list[np.ndarray]]:
-        """piece[i][L]: for words of equal ``width`` at ``start``, the piece on bytes [i, i + L), or -1."""
+    def arcs(self, buf: np.ndarray, start: np.ndarray, width: int, upto: int | None = None) -> list[list[np.ndarray]]:
+        """piece[i][L]: for words of equal ``width`` at ``start``, the piece on bytes [i, i + L), or -1; for i < ``upto``."""
         sums = prefix_sums(BYTE[buf], P1)
         out = []
-        for i in range(width):
+        for i in range(width if upto is None else min(upto, width)):
             row = []
             for size in range(1, min(MAX_PIECE, width - i) + 1):
                 p = self.find(spans_hash(sums, start + i, start + i + size, P1))
@@ -138,21 +141,56 @@ class Lattice:
                     beta[i, on] = np.logaddexp(beta[i, on], beta[i + size, on] + self.logs[p[on]])
         return beta
 
+    def stretched(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, weight: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
+        """Marginals of words of any length; arcs are held for one stretch at a time. Adds to ``counts`` if given."""
+        width, words = int(size.max()), np.arange(len(size))
+        logs = np.r_[self.logs, -np.inf]
+
+        def stretch(a: int):
+            """(byte, length, words, pieces) of the arcs that start in the stretch at ``a``."""
+            m = min(STRETCH + MAX_PIECE - 1, width - a)
+            text = buf[np.minimum(start[:, None] + np.arange(a, a + m), (start + size - 1)[:, None])].ravel()
+            for i, row in enumerate(self.arcs(text, words * m, m, STRETCH), a):
+                for n, p in enumerate(row, 1):
+                    on = np.flatnonzero((p >= 0) & (i + n <= size))
+                    if len(on):
+                        yield i, n, on, p[on]
+
+        alpha = np.full((width + 1, len(size)), -np.inf)
+        alpha[0] = 0
+        for a in range(0, width, STRETCH):
+            for i, n, on, p in stretch(a):
+                alpha[i + n, on] = np.logaddexp(alpha[i + n, on], alpha[i, on] + logs[p])
+        out = alpha[size, words]
+        if counts is None:
+            return out
+        beta = np.full((width + 1, len(size)), -np.inf)
+        beta[size, words] = 0
+        for a in range((width - 1) // STRETCH * STRETCH, -1, -STRETCH):
+            for i, n, on, p in reversed([*stretch(a)]):
+                beta[i, on] = np.logaddexp(beta[i, on], beta[i + n, on] + logs[p])
+                post = np.exp(alpha[i, on] + logs[p] + beta[i + n, on] - out[on])
+                for c in range(len(counts)):
+                    some = weight[on, c] > 0
+                    counts[c] += np.bincount(p[some], weights=(post * weight[on, c])[some], minlength=counts.shape[1])
+        return out
+
     def words(self, buf: np.ndarray, off: np.ndarray, weight: np.ndarray | None = None):
         """Natural-log marginals of the words buf[off[k]:off[k+1]]; with ``weight`` (words, classes), expected piece counts too.
 
-        Words beyond 64 bytes are scored in stretches of 64 (no piece spans a stretch's edge).
+        Words beyond ``STRETCH`` bytes are scored in stretches; pieces span their edges.
         """
         size = np.diff(off)
         out = np.zeros(len(size))
         counts = np.zeros((weight.shape[1], len(self.hashes))) if weight is not None else None
-        starts, owner, widths = off[:-1], np.arange(len(size)), size
-        if len(size) and size.max() > 64:
-            parts = np.maximum(-(-size // 64), 1)
-            owner = np.repeat(np.arange(len(size)), parts)
-            nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            starts = off[:-1][owner] + 64 * nth
-            widths = np.minimum(64, size[owner] - 64 * nth)
+        long = np.flatnonzero(size > STRETCH)
+        long = long[np.argsort(size[long], kind="stable")][::-1]
+        while len(long):  # the longest first: a block has at most 2**18 padded bytes, or one word
+            n = max(1, (1 << 18) // int(size[long[0]]))
+            g, long = long[:n], long[n:]
+            out[g] = self.stretched(buf, off[:-1][g], size[g], None if counts is None else weight[g], counts)
+        owner = np.flatnonzero(size <= STRETCH)
+        starts, widths = off[:-1][owner], size[owner]
         order = np.argsort(widths, kind="stable")
         edges = np.flatnonzero(np.diff(widths[order])) + 1
         for group in np.split(order, edges):

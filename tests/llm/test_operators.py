@@ -253,6 +253,35 @@ def test_lattice_sums_all_segmentations():
         assert np.allclose(lm_score.rising(x, np.full(4, n)), want, rtol=1e-6, atol=1e-9)
 
 
+def test_lattice_of_long_words():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    known = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i)))
+    long = max((x.strip("▁").lower().encode() for x in known), key=len)
+    hashes, logs = lm_score.vocabulary_pieces()
+    lattice = lm_score.Lattice(hashes, logs)
+    number = {h: i for i, h in enumerate(hashes[: lattice.pieces].tolist())}
+
+    def marginal(x):
+        buf, alpha = np.frombuffer(x, np.uint8), [0.0] + [-math.inf] * len(x)
+        sums = lm_score.prefix_sums(lm_score.BYTE[buf], lm_score.P1)
+        for i in range(len(x)):
+            for k in range(1, len(x) - i + 1):
+                p = number.get(int(lm_score.spans_hash(sums, np.array([i]), np.array([i + k]), lm_score.P1)[0]), lattice.pieces + x[i] if k == 1 else None)
+                if p is not None:
+                    alpha[i + k] = np.logaddexp(alpha[i + k], alpha[i] + logs[p])
+        return alpha[-1]
+
+    some = [b" " + long, b" the", b" " + "日本語の文章は空白なしで書かれる".encode() * 4, b" " + b"x" * 55 + long * 3, b" " + b"thing" * 13, b" " + b"ab" * 31 + b"a"]
+    off = np.cumsum([0, *map(len, some)])
+    got, counts = lattice.words(np.frombuffer(b"".join(some), np.uint8), off, np.ones((len(some), 1)))
+    assert np.allclose(got, [marginal(x) for x in some], rtol=1e-9)
+    assert np.allclose(got, lattice.words(np.frombuffer(b"".join(some), np.uint8), off))
+    assert counts.sum() > 0 and np.isfinite(counts).all()
+
+
 def test_mixing(docs, rows, empty):
     got = by_id(mixing.mix_sources(docs.drop("size")))
     size = {i: len(words(t)) for i, t, _ in rows}
