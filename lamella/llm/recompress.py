@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import P2, mix, partitions_for, prefix_sums, read, spans_hash, word_hashes, word_spans
-from .packs import merged, occurs, packs, round_trip, unpack
+from ._common import BYTE, P1, P2, mix, prefix_sums, read, spans_hash, word_hashes, word_spans
+from .packs import buckets_for, counted, held, held_pairs, merged, packs, round_trip, unpack
 
 ROUNDS = 3
 
@@ -78,11 +78,16 @@ def _windows(doc: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(doc[: n - width + 1] == doc[width - 1 :]) if n >= width else np.zeros(0, np.int64)
 
 
-def _suspects(batch: pa.RecordBatch, i: int, buckets: int, width: int, got):
+def _distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Where a new pair begins."""
+    return np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
+
+
+def _suspects(batch: pa.RecordBatch, i: int, width: int, got):
     """Windows that symbols do not rule out."""
     _, _, _, _, doc, h = got
     keys, lo, hi = _contexts(h, doc, width)
-    alone = merged(batch, i, "shared", keys, buckets, np.uint8) == 0
+    alone = (merged(batch, i, "shared", np.uint8) == 0)[np.unique(keys, return_inverse=True)[1]] if len(keys) else np.zeros(0, bool)
     bad = np.zeros(len(h) + 2, np.int64)
     np.add.at(bad, np.maximum(hi[alone] - width, 0), 1)
     np.add.at(bad, lo[alone] + 1, -1)
@@ -97,31 +102,40 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text and other rows with the same id included. Kept words are joined by one space. Null, empty and blank texts have
     no words and come out empty. Windows are judged on the input. A task holds one pack, or one text that is longer.
     """
-    spark = docs.sparkSession
-    buckets = 2 * partitions_for(spark, 12)
     id_type = docs.schema[id_col].dataType.simpleString()
     table = packs(docs, id_col, text_col)
+    buckets = buckets_for(table)
 
     def symbol_items(batch: pa.RecordBatch, i: int):
         _, _, _, _, doc, h = _words(batch.column("x")[i].as_py())
-        return _contexts(h, doc, width)[0], lambda o: None
+        return counted(_contexts(h, doc, width)[0])
 
-    def window_items(batch: pa.RecordBatch, i: int):
+    def windows(batch: pa.RecordBatch, i: int):
+        """Suspect windows in the order of their 128-bit hashes."""
         got = _words(batch.column("x")[i].as_py())
-        w = _suspects(batch, i, buckets, width, got)
-        return spans_hash(prefix_sums(got[5], P2), w, w + width, P2), lambda o: None
+        w = _suspects(batch, i, width, got)
+        one = spans_hash(prefix_sums(got[5], P2), w, w + width, P2)
+        again = spans_hash(prefix_sums(BYTE[got[0]], P2), got[2], got[3], P2)
+        two = spans_hash(prefix_sums(again, P1), w, w + width, P1)
+        order = np.lexsort((two, one))
+        return got, w[order], one[order], two[order]
+
+    def window_items(batch: pa.RecordBatch, i: int):
+        _, _, one, two = windows(batch, i)
+        at = _distinct(one, two)
+        times = np.minimum(np.diff(np.r_[at, len(one)]), 2).astype(np.uint8)
+        one, two = one[at], two[at]
+        return one, lambda s: (two[s], times[s])
 
-    table = round_trip(table, symbol_items, occurs(2), "uint8", buckets, "shared")
-    table = round_trip(table, window_items, occurs(2), "uint8", buckets, "twice")
+    table = round_trip(table, symbol_items, held(2), "uint8", buckets, "shared", 5)
+    table = round_trip(table, window_items, held_pairs, "uint8", buckets, "twice")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                got = _words(batch.column("x")[i].as_py())
-                data, off, s, e, doc, h = got
-                w = _suspects(batch, i, buckets, width, got)
-                keys = spans_hash(prefix_sums(h, P2), w, w + width, P2)
-                w = w[merged(batch, i, "twice", keys, buckets, np.uint8) == 1]
+                (data, off, s, e, doc, h), w, one, two = windows(batch, i)
+                at = _distinct(one, two)
+                w = w[np.repeat(merged(batch, i, "twice", np.uint8) == 1, np.diff(np.r_[at, len(w)]))]
                 cover = np.zeros(len(h) + 1, np.int64)
                 cover[w] += 1
                 np.add.at(cover, w + width, -1)

@@ -3,14 +3,14 @@
 Strings are compared only where they can be equal. Every ``width``-byte string has one anchor, the smallest-hashed of
 its ``GRAM``-byte grams, so equal strings have equal anchors at equal offsets. Three round trips follow:
 
-1. anchors whose gram is held by one document only settle their strings as unique;
-2. of the others, the *span* (the bytes of all strings with that anchor) is compared by hash: a span that a smaller id
-   also holds settles all its strings as repeats, and one document stands for each distinct span;
+1. anchors whose gram is held by one document only settle their strings as unique, and are dropped;
+2. of the others, the *span* (the bytes of all strings with that anchor) is compared by 128 bits of hash: a span that a
+   smaller id also holds settles all its strings as repeats, and one document stands for each distinct span;
 3. the distinct spans of one gram meet in one bucket, which sorts their suffixes by two-stage sorting and finds the
    smallest id of each run of adjacent suffixes with a common prefix of ``width`` bytes.
 
 Two-stage sorting: suffixes smaller than their successors are sorted directly; the others are induced by scanning the
-buckets of first bytes upwards, each ordered by the rank of its successor.
+buckets of first bytes upwards, each sorted suffix placing its larger predecessor. Common prefixes of neighbours follow.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BYTE, P1, mix, partitions_for, prefix_sums, read, spans_hash
-from .packs import merged, packs, round_trip, unpack
+from ._common import BYTE, P1, P2, checkpoint, mix, prefix_sums, read, spans_hash
+from .packs import buckets_for, held, merged, packs, round_trip, unpack
 
 #: bytes of an anchor's gram, about half a string
 GRAM = 26
@@ -59,31 +59,40 @@ def two_stage_suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
         cut = np.zeros(len(order), np.int64)
         cut[tied[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
         group = np.cumsum(np.r_[0, (group[1:] != group[:-1]) | (cut[1:] == 1)])
-    # stage 2: buckets of the first byte, upwards; those larger than their successors come first in each
-    rank = np.full(n + 1, -1, np.int64)
-    rank[n] = -1
+    # stage 2: scan the buckets of first bytes upwards; a sorted suffix puts its larger predecessor at its bucket's front
     out = np.empty(n, np.int64)
     direct = np.searchsorted(t[order], np.arange(257))
-    larger = np.flatnonzero(~smaller)
-    larger = larger[np.argsort(t[larger], kind="stable")]
-    induced = np.searchsorted(t[larger], np.arange(257))
+    queue: list[list[np.ndarray]] = [[] for _ in range(256)]
     filled = 0
+
+    def induce(done: np.ndarray) -> np.ndarray:
+        """Queue the predecessors of ``done`` by first byte, in this order; those of the bucket being scanned come back."""
+        before = done[done > 0] - 1
+        before = before[~smaller[before]]
+        byte = t[before]
+        by = np.argsort(byte, kind="stable")
+        before, byte = before[by], byte[by]
+        edges = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1], True]) if len(byte) else []
+        own = np.zeros(0, np.int64)
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if byte[lo] == c:
+                own = before[lo:hi]
+            else:
+                queue[byte[lo]].append(before[lo:hi])
+        return own
+
+    if not smaller[n - 1]:
+        queue[t[n - 1]].append(np.array([n - 1]))  # the empty suffix is the smallest of all
     for c in np.unique(t).tolist():
-        mine = larger[induced[c] : induced[c + 1]]
-        # a run of equal bytes is induced from its end backwards
-        level = at[mine] - mine
-        todo = mine[np.argsort(level, kind="stable")]
-        edges = np.flatnonzero(np.r_[True, np.diff(np.sort(level)) != 0, True]) if len(mine) else np.zeros(0, np.int64)
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            step = todo[a:b]
-            step = step[np.argsort(rank[step + 1], kind="stable")]
+        step = np.concatenate(queue[c]) if queue[c] else np.zeros(0, np.int64)
+        while len(step):
             out[filled : filled + len(step)] = step
-            rank[step] = np.arange(filled, filled + len(step))
             filled += len(step)
+            step = induce(step)
         step = order[direct[c] : direct[c + 1]]
         out[filled : filled + len(step)] = step
-        rank[step] = np.arange(filled, filled + len(step))
         filled += len(step)
+        induce(step)
     return out
 
 
@@ -125,30 +134,16 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
     return h[pos], pos, w[start], last + 1, np.searchsorted(off, pos, "right") - 1
 
 
-def _held_by_several(got: list) -> list[np.ndarray]:
-    """Whether a gram occurs under two ids or more."""
-    keys, ids = np.concatenate([k for k, _ in got]), np.concatenate([p for _, p in got])
-    order = np.argsort(keys, kind="stable")
-    k, d = keys[order], ids[order]
-    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[start, len(k)])
-    out = np.zeros(len(k), np.uint8)
-    if len(k):
-        out[order] = np.repeat(np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start), size)
-    return np.split(out, np.cumsum([len(k) for k, _ in got])[:-1])
-
-
 def _judge_spans(got: list) -> list[np.ndarray]:
     """2: a smaller id holds the same span; 1: stands for its span among others of its gram; 0: nothing to compare."""
     keys = np.concatenate([k for k, _ in got])
-    span, ids = (np.concatenate([p[j] for _, p in got]) for j in (0, 1))
+    one, two, ids = (np.concatenate([p[j] for _, p in got]) for j in (0, 1, 2))
     out = np.zeros(len(keys), np.uint8)
     if len(keys):
-        order = np.lexsort((ids, span, keys))
-        k, s, d = keys[order], span[order], ids[order]
+        order = np.lexsort((ids, two, one, keys))
+        k, d = keys[order], ids[order]
         gram = np.r_[True, k[1:] != k[:-1]]
-        new = gram | np.r_[True, s[1:] != s[:-1]]
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(_fresh(k, one[order], two[order]))
         least = np.repeat(d[first], np.diff(np.r_[first, len(k)]))
         gram_of = np.cumsum(gram) - 1
         spans = np.bincount(gram_of[first])
@@ -156,6 +151,13 @@ def _judge_spans(got: list) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(k) for k, _ in got])[:-1])
 
 
+def _fresh(*columns: np.ndarray) -> np.ndarray:
+    """Where rows sorted by ``columns`` differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def _judge_suffixes(width: int):
     def judge(got: list) -> list[np.ndarray]:
         """Bit j: string j of the span is held by a smaller id as well."""
@@ -195,57 +197,84 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not GRAM < width < GRAM + 64:
         raise ValueError("width out of range")
     spark = docs.sparkSession
-    buckets = 2 * partitions_for(spark, 12)
     id_type = docs.schema[id_col].dataType.simpleString()
     table = packs(docs, id_col, text_col)
+    buckets = buckets_for(table)
 
-    def found(batch, i):
-        data, off = unpack(batch.column("x")[i].as_py())
-        return data, off, anchors(data, off, width)
+    def gram_items(batch, i):
+        """Distinct grams, and whether one document or several of the pack hold each."""
+        key, _, _, _, doc = anchors(*unpack(batch.column("x")[i].as_py()), width)
+        order = np.argsort(key)
+        key, doc = key[order], doc[order]
+        at = np.flatnonzero(_fresh(key))
+        several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) if len(at) else at
+        count = several.astype(np.uint8) + np.uint8(1)
+        return key[at], lambda s: count[s]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors whose gram occurs in several documents, in the order of their grams."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                got = anchors(*unpack(batch.column("x")[i].as_py()), width)
+                order = np.argsort(got[0])
+                key = got[0][order]
+                on = order[(merged(batch, i, "shared", np.uint8) == 1)[np.cumsum(_fresh(key)) - 1]] if len(key) else order
+                raw = b"".join([got[0][on].tobytes(), *(x[on].astype(np.int32).tobytes() for x in got[1:])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("uid", "ids", "size", "x")), pa.array([raw], pa.binary())], names=["uid", "ids", "size", "x", "found"])
 
-    def shared(batch, i):
+    def found(batch, i):
+        """(bytes, offsets, (gram, position, first window, last window + 1, document)) of the anchors kept."""
+        raw = batch.column("found")[i].as_py()
+        n = len(raw) // 24
+        rest = np.frombuffer(raw, np.int32, offset=8 * n).reshape(4, n).astype(np.int64)
+        return *unpack(batch.column("x")[i].as_py()), (np.frombuffer(raw, np.uint64, n), *rest)
+
+    def spans(batch, i):
+        """Order of the anchors by gram and span, where a new span begins in it, span hashes, ids, and least ids by span."""
         data, off, (key, pos, first, last, doc) = found(batch, i)
-        on = merged(batch, i, "shared", key, buckets, np.uint8) == 1
-        return data, off, tuple(x[on] for x in (key, pos, first, last, doc))
-
-    def gram_items(batch, i):
-        _, _, (key, _, _, _, doc) = found(batch, i)
+        where = (pos - first).astype(np.uint64)
+        one, two = (spans_hash(prefix_sums(BYTE[data], p), first, last - 1 + width, p) + mix(where + np.uint64(p & 0xFFFF)) for p in (P1, P2))
         ids = _ids(batch, i)[doc]
-        return key, lambda o: ids[o]
+        order = np.lexsort((ids, two, one, key))
+        at = np.flatnonzero(_fresh(key[order], one[order], two[order]))
+        return (data, off, (key, pos, first, last, doc)), order, at, one, two, ids
 
     def span_items(batch, i):
-        data, _, (key, pos, first, last, doc) = shared(batch, i)
-        span = spans_hash(prefix_sums(BYTE[data], P1), first, last - 1 + width, P1) + mix((pos - first).astype(np.uint64))
-        ids = _ids(batch, i)[doc]
-        return key, lambda o: (span[o], ids[o])
-
-    def open_spans(batch, i):
-        data, off, got = shared(batch, i)
-        verdict = merged(batch, i, "span", got[0], buckets, np.uint8)
-        return data, off, got, verdict
+        (_, _, (key, *_)), order, at, one, two, ids = spans(batch, i)
+        lead = order[at]
+        one, two, ids = one[lead], two[lead], ids[lead]
+        return key[lead], lambda s: (one[s], two[s], ids[s])
+
+    def judged(batch, i):
+        """What ``found`` returns, ids, and the verdict on each span."""
+        got, order, at, _, _, ids = spans(batch, i)
+        size = np.diff(np.r_[at, len(order)])
+        verdict = np.zeros(len(order), np.uint8)
+        verdict[order] = np.where(ids[order] > np.repeat(ids[order[at]], size), 2, np.repeat(merged(batch, i, "span", np.uint8), size))
+        return got, ids, verdict
 
     def text_items(batch, i):
-        data, _, (key, _, first, last, doc), verdict = open_spans(batch, i)
-        on = verdict == 1
-        key, first, last, doc = key[on], first[on], last[on], doc[on]
-        ids, raw = _ids(batch, i)[doc], data.tobytes()
-        return key, lambda o: (ids[o], last[o] - first[o] - 1 + width, b"".join([raw[a : b - 1 + width] for a, b in zip(first[o].tolist(), last[o].tolist(), strict=True)]))
+        (data, _, (key, _, first, last, _)), ids, verdict = judged(batch, i)
+        on = verdict == 1  # gram order is kept
+        key, first, last, ids, raw = key[on], first[on], last[on], ids[on], data.tobytes()
+        return key, lambda s: (ids[s], last[s] - first[s] - 1 + width, b"".join([raw[a : b - 1 + width] for a, b in zip(first[s].tolist(), last[s].tolist(), strict=True)]))
 
-    table = round_trip(table, gram_items, _held_by_several, "uint8", buckets, "shared")
+    table = round_trip(table, gram_items, held(2), "uint8", buckets, "shared", 6)
+    table = checkpoint(table.mapInArrow(keep, f"uid long, ids array<{id_type}>, size long, x binary, found binary"))
     table = round_trip(table, span_items, _judge_spans, "uint8", buckets, "span")
     table = round_trip(table, text_items, _judge_suffixes(width), "uint64", buckets, "strings")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, off, (key, _, first, last, _), verdict = open_spans(batch, i)
+                (data, off, (_, _, first, last, _)), _, verdict = judged(batch, i)
                 n = len(data)
                 cover = np.zeros(n + 1, np.int64)
                 whole = verdict == 2
                 np.add.at(cover, first[whole], 1)
                 np.add.at(cover, last[whole] - 1 + width, -1)
                 on = verdict == 1
-                bits = merged(batch, i, "strings", key[on], buckets, np.uint64)
+                bits = merged(batch, i, "strings", np.uint64)
                 for j in range(width - GRAM + 1):
                     at = first[on][(bits >> np.uint64(j)) & np.uint64(1) == 1] + j
                     np.add.at(cover, at, 1)
