@@ -30,8 +30,8 @@ def stem(c: Column) -> Column:
 
 
 def compact_float(c: Column) -> Column:
-    """Four decimals without trailing zeros; negative zero is 0."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""), "^-0$|^$", "0")
+    """Four decimals without trailing zeros; negative zero is 0, null stays null."""
+    return F.when(c.isNotNull(), F.regexp_replace(F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""), "^-0$|^$", "0"))
 
 
 def stack_path(folder: Column, series: Column, windows: bool = False) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .star import numbered_lines
+from .star import file_path, numbered_lines
 
 
 def read_alignment_log(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +100,7 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
         .when(head == "EFBBBF", F.decode(F.expr("substring(content, 4)"), "UTF-8"))
         .otherwise(F.decode("content", "UTF-8"))
     )
-    return raw.select("path", text.alias("xml"))
+    return raw.select(file_path(F.col("path")).alias("path"), text.alias("xml"))
 
 
 def tilts(xml: DataFrame) -> DataFrame:
@@ -129,14 +129,16 @@ def mean_defocus(xml: DataFrame) -> DataFrame:
     return n.groupBy("path").agg(F.bround(F.avg("a"), 0).alias("defocus"))
 
 
-def backup(path: str) -> str:
-    """Copy to .bak, .bak.1, ... and return the copy's name."""
+def backup(path: str, to: str | None = None) -> str:
+    """Copy to ``to`` (the file with .bak), or with .1, .2, ... after it where that exists; return the copy's name."""
     import shutil
 
-    name, k = path + ".bak", 0
+    base = name = to or path + ".bak"
+    k = 0
     while os.path.exists(name):
         k += 1
-        name = f"{path}.bak.{k}"
+        name = f"{base}.{k}"
+    os.makedirs(os.path.dirname(os.path.abspath(name)), exist_ok=True)
     shutil.copy2(path, name)
     return name
 
@@ -150,7 +152,7 @@ def replace_file(path: str, data: bytes) -> None:
 
 def listing(spark: SparkSession, pattern: str) -> DataFrame:
     """(path): files of a glob pattern, sorted."""
-    return spark.read.format("binaryFile").load(pattern).select("path").orderBy("path")
+    return spark.read.format("binaryFile").load(pattern).select(file_path(F.col("path")).alias("path")).orderBy("path")
 
 
 def locate(candidates: DataFrame, files: DataFrame) -> DataFrame:

@@ -179,7 +179,12 @@ def write_groups(df: DataFrame, keys: list[str], folder: str, name: str = "parti
     return sorted(r[0] for r in df.groupBy(*keys).applyInPandas(write, "path string").collect())
 
 
+def file_path(c):
+    """A file's path in one form, whichever reader tells it: local files without their scheme."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, n, line) of text files, line numbers from 0."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(file_path(F.col("_metadata.file_path")).alias("path"), "value")
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
