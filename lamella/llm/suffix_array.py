@@ -4,7 +4,7 @@ Strings are compared only where they can be equal. Every ``width``-byte string h
 its ``GRAM``-byte grams, so equal strings have equal anchors at equal offsets. Three round trips follow:
 
 1. anchors whose gram is held by one document only settle their strings as unique, and are dropped;
-2. of the others, the *span* (the bytes of all strings with that anchor) is compared by 128 bits of hash: a span that a
+2. of the others, the *span* (the bytes of all strings with that anchor) is compared by 96 bits of hash besides its gram's: a span that a
    smaller id also holds settles all its strings as repeats, and one document stands for each distinct span;
 3. the distinct spans of one gram meet in one bucket, which sorts their suffixes by two-stage sorting and finds the
    smallest id of each run of adjacent suffixes with a common prefix of ``width`` bytes.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BYTE, P1, P2, checkpoint, mix, prefix_sums, read, spans_hash
+from ._common import BYTE, P1, P2, checkpoint, mix, powers, prefix_sums, read, spans_hash
 from .packs import buckets_for, held, merged, packs, round_trip, unpack
 
 #: bytes of an anchor's gram, about half a string
@@ -107,37 +107,46 @@ def adjacent_common(t: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, off: np.ndarray, width: int):
-    """(gram hash, position, first window, last window + 1, document): windows by their leftmost smallest gram."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    """(gram hash, position, first window, last window + 1): windows by their leftmost smallest gram; and the prefix sums."""
     n, slide = len(data), width - GRAM + 1
     if n < width:
-        return none
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(1, np.uint64)
     sums = prefix_sums(BYTE[data], P1)
-    i = np.arange(n - GRAM + 1)
-    h = spans_hash(sums, i, i + GRAM, P1)
+    h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(P1, n + 1)[1][: n - GRAM + 1])
     bits = np.uint64(max(24, int(n).bit_length()))
-    v = ((mix(h) >> bits) << bits) | i.astype(np.uint64)
-    m, have = v, 1
+    m, have = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64), 1
     while have * 2 <= slide:
         m = np.minimum(m[:-have], m[have:])
         have *= 2
     m = np.minimum(m[: n - width + 1], m[slide - have : slide - have + n - width + 1])
-    where = (m & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc_end = np.repeat(off[1:], np.diff(off))
-    w = np.flatnonzero(np.arange(n - width + 1) + width <= doc_end[: n - width + 1])
-    if not len(w):
-        return none
-    where = where[w]
-    start = np.flatnonzero(np.r_[True, (where[1:] != where[:-1]) | (np.diff(w) != 1)])
-    pos = where[start]
-    last = np.r_[w[start[1:] - 1], w[-1]]
-    return h[pos], pos, w[start], last + 1, np.searchsorted(off, pos, "right") - 1
+    inside = np.ones(len(m), bool)  # windows that end in the text they start in
+    over = (off[1:-1, None] - np.arange(1, width)[None]).ravel()
+    inside[over[(over >= 0) & (over < len(m))]] = False
+    cut = np.r_[0, np.flatnonzero((m[1:] != m[:-1]) | (inside[1:] != inside[:-1])) + 1, len(m)]
+    mine = inside[cut[:-1]]
+    first, last = cut[:-1][mine], cut[1:][mine]
+    pos = (m[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return h[pos], pos, first, last, sums
+
+
+def _gram_hashes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The hashes of the grams at ``pos``, as ``anchors`` gives them."""
+    total = np.zeros(len(pos), np.uint64)
+    for j in range(GRAM):
+        total += BYTE[data[pos + j]] * powers(P1, GRAM)[0][j]
+    return mix(total)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in four bytes where they fit."""
+    return x.astype(np.uint32) if len(x) and x.min() >= 0 and x.max() < 1 << 32 else x
 
 
 def _judge_spans(got: list) -> list[np.ndarray]:
     """2: a smaller id holds the same span; 1: stands for its span among others of its gram; 0: nothing to compare."""
     keys = np.concatenate([k for k, _ in got])
     one, two, ids = (np.concatenate([p[j] for _, p in got]) for j in (0, 1, 2))
+    ids = ids.astype(np.int64)
     out = np.zeros(len(keys), np.uint8)
     if len(keys):
         order = np.lexsort((ids, two, one, keys))
@@ -161,8 +170,8 @@ def _fresh(*columns: np.ndarray) -> np.ndarray:
 def _judge_suffixes(width: int):
     def judge(got: list) -> list[np.ndarray]:
         """Bit j: string j of the span is held by a smaller id as well."""
-        ids = np.concatenate([p[0] for _, p in got])
-        size = np.concatenate([p[1] for _, p in got])
+        ids = np.concatenate([p[0] for _, p in got]).astype(np.int64)
+        size = np.concatenate([p[1] for _, p in got]).astype(np.int64)
         t = np.frombuffer(b"".join(p[2] for _, p in got), np.uint8)
         out = np.zeros(len(ids), np.uint64)
         begin = np.cumsum(size) - size
@@ -203,71 +212,80 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def gram_items(batch, i):
         """Distinct grams, and whether one document or several of the pack hold each."""
-        key, _, _, _, doc = anchors(*unpack(batch.column("x")[i].as_py()), width)
+        data, off = unpack(batch.column("x")[i].as_py())
+        key, pos, *_ = anchors(data, off, width)
         order = np.argsort(key)
-        key, doc = key[order], doc[order]
+        key, doc = key[order], np.searchsorted(off, pos[order], "right")
         at = np.flatnonzero(_fresh(key))
         several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) if len(at) else at
         count = several.astype(np.uint8) + np.uint8(1)
         return key[at], lambda s: count[s]
 
+    def hashes(sums, data, pos, first, last):
+        """Two hashes of the bytes of all strings with an anchor, and of where it stands among them."""
+        where = (pos - first).astype(np.uint64)
+        again = prefix_sums(BYTE[data], P2)
+        return tuple(spans_hash(s, first, last - 1 + width, p) + mix(where + np.uint64(p & 0xFFFF)) for s, p in ((sums, P1), (again, P2)))
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Anchors whose gram occurs in several documents, in the order of their grams."""
+        """Anchors whose gram occurs in several documents: position, windows and whether a new span begins, by gram and span."""
         for batch in batches:
             for i in range(batch.num_rows):
-                got = anchors(*unpack(batch.column("x")[i].as_py()), width)
-                order = np.argsort(got[0])
-                key = got[0][order]
-                on = order[(merged(batch, i, "shared", np.uint8) == 1)[np.cumsum(_fresh(key)) - 1]] if len(key) else order
-                raw = b"".join([got[0][on].tobytes(), *(x[on].astype(np.int32).tobytes() for x in got[1:])])
+                data, off = unpack(batch.column("x")[i].as_py())
+                key, pos, first, last, sums = anchors(data, off, width)
+                order = np.argsort(key)
+                on = order[(merged(batch, i, "shared", np.uint8) == 1)[np.cumsum(_fresh(key[order])) - 1]] if len(key) else order
+                key, pos, first, last = (x[on] for x in (key, pos, first, last))
+                one, two = hashes(sums, data, pos, first, last)
+                ids = _ids(batch, i)[np.searchsorted(off, pos, "right") - 1]
+                order = np.lexsort((ids, two, one, key))
+                fresh = _fresh(key[order], one[order], two[order]) if len(order) else np.zeros(0, bool)
+                pos, first, last = (x[order] for x in (pos, first, last))
+                raw = b"".join([pos.astype(np.uint32).tobytes(), *(x.astype(np.uint8).tobytes() for x in (pos - first, last - first, fresh))])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in ("uid", "ids", "size", "x")), pa.array([raw], pa.binary())], names=["uid", "ids", "size", "x", "found"])
 
     def found(batch, i):
-        """(bytes, offsets, (gram, position, first window, last window + 1, document)) of the anchors kept."""
+        """(bytes, offsets, position, first window, last window + 1, where new spans begin, ids) of the anchors kept."""
+        data, off = unpack(batch.column("x")[i].as_py())
         raw = batch.column("found")[i].as_py()
-        n = len(raw) // 24
-        rest = np.frombuffer(raw, np.int32, offset=8 * n).reshape(4, n).astype(np.int64)
-        return *unpack(batch.column("x")[i].as_py()), (np.frombuffer(raw, np.uint64, n), *rest)
-
-    def spans(batch, i):
-        """Order of the anchors by gram and span, where a new span begins in it, span hashes, ids, and least ids by span."""
-        data, off, (key, pos, first, last, doc) = found(batch, i)
-        where = (pos - first).astype(np.uint64)
-        one, two = (spans_hash(prefix_sums(BYTE[data], p), first, last - 1 + width, p) + mix(where + np.uint64(p & 0xFFFF)) for p in (P1, P2))
-        ids = _ids(batch, i)[doc]
-        order = np.lexsort((ids, two, one, key))
-        at = np.flatnonzero(_fresh(key[order], one[order], two[order]))
-        return (data, off, (key, pos, first, last, doc)), order, at, one, two, ids
+        n = len(raw) // 7
+        pos = np.frombuffer(raw, np.uint32, n).astype(np.int64)
+        back, span, fresh = np.frombuffer(raw, np.uint8, offset=4 * n).reshape(3, n).astype(np.int64)
+        return data, off, pos, pos - back, pos - back + span, np.flatnonzero(fresh), _ids(batch, i)[np.searchsorted(off, pos, "right") - 1]
 
     def span_items(batch, i):
-        (_, _, (key, *_)), order, at, one, two, ids = spans(batch, i)
-        lead = order[at]
-        one, two, ids = one[lead], two[lead], ids[lead]
-        return key[lead], lambda s: (one[s], two[s], ids[s])
+        """A span once a pack, with its least id."""
+        data, _, pos, first, last, at, ids = found(batch, i)
+        pos, first, last, ids = pos[at], first[at], last[at], ids[at]
+        sums = prefix_sums(BYTE[data], P1)
+        one, two = hashes(sums, data, pos, first, last)
+        two = (two >> np.uint64(32)).astype(np.uint32)
+        return spans_hash(sums, pos, pos + GRAM, P1), lambda s: (one[s], two[s], _narrow(ids[s]))
 
     def judged(batch, i):
-        """What ``found`` returns, ids, and the verdict on each span."""
-        got, order, at, _, _, ids = spans(batch, i)
-        size = np.diff(np.r_[at, len(order)])
-        verdict = np.zeros(len(order), np.uint8)
-        verdict[order] = np.where(ids[order] > np.repeat(ids[order[at]], size), 2, np.repeat(merged(batch, i, "span", np.uint8), size))
-        return got, ids, verdict
+        """What ``found`` returns and the verdict on each span."""
+        got = found(batch, i)
+        at, ids = got[5:]
+        size = np.diff(np.r_[at, len(ids)])
+        verdict = np.where(ids > np.repeat(ids[at], size), 2, np.repeat(merged(batch, i, "span", np.uint8), size))
+        return got, verdict
 
     def text_items(batch, i):
-        (data, _, (key, _, first, last, _)), ids, verdict = judged(batch, i)
+        (data, _, pos, first, last, _, ids), verdict = judged(batch, i)
         on = verdict == 1  # gram order is kept
-        key, first, last, ids, raw = key[on], first[on], last[on], ids[on], data.tobytes()
-        return key, lambda s: (ids[s], last[s] - first[s] - 1 + width, b"".join([raw[a : b - 1 + width] for a, b in zip(first[s].tolist(), last[s].tolist(), strict=True)]))
+        pos, first, last, ids, raw = pos[on], first[on], last[on], ids[on], data.tobytes()
+        texts = lambda s: b"".join([raw[a : b - 1 + width] for a, b in zip(first[s].tolist(), last[s].tolist(), strict=True)])
+        return _gram_hashes(data, pos), lambda s: (_narrow(ids[s]), (last[s] - first[s] - 1 + width).astype(np.uint8), texts(s))
 
     table = round_trip(table, gram_items, held(2), "uint8", buckets, "shared", 6)
     table = checkpoint(table.mapInArrow(keep, f"uid long, ids array<{id_type}>, size long, x binary, found binary"))
-    table = round_trip(table, span_items, _judge_spans, "uint8", buckets, "span")
+    table = round_trip(table, span_items, _judge_spans, "uint8", buckets, "span", 6)
     table = round_trip(table, text_items, _judge_suffixes(width), "uint64", buckets, "strings")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (data, off, (_, _, first, last, _)), _, verdict = judged(batch, i)
+                (data, off, _, first, last, _, _), verdict = judged(batch, i)
                 n = len(data)
                 cover = np.zeros(n + 1, np.int64)
                 whole = verdict == 2
