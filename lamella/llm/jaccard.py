@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from lamella.operators.graph import components
 
-from ._common import P2, checkpoint, mix, partitions_for, prefix_sums, read, release, spans_hash
+from ._common import P2, checkpoint, mix, partitions_for, prefix_sums, read, release, spans_hash, trim
 from .lm_score import tokens
 from .packs import buckets_for, counted, held, merged, packs, round_trip, unpack
 
@@ -198,7 +198,7 @@ def _intersections(a: np.ndarray, b: np.ndarray, rows: np.ndarray, y: np.ndarray
     a, b = a[order], b[order]
     lo, hi = np.searchsorted(a, y, "left"), np.searchsorted(a, y, "right")
     out = np.zeros(n * m, np.int64)
-    step = max(1, (1 << 21) // max(1, m))
+    step = max(1, (1 << 19) // max(1, m))
     for i in range(0, len(y), step):
         size = (hi - lo)[i : i + step]
         total = int(size.sum())
@@ -327,6 +327,7 @@ def link_components(
                 size, c1, c2 = set_digests(*shingle_sets(data, off, width), n)
                 arrays = [batch.column("ids").slice(i, 1).flatten(), *(pa.array(x) for x in ((uid << 16) + np.arange(n), size.astype(np.int64), c1, c2))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "rid", "n", "c1", "c2"])
+        trim()
 
     sized = checkpoint(table.mapInArrow(digest, f"id {id_type}, rid long, n long, c1 long, c2 long"))
     classes = checkpoint(sized.filter("n > 0").groupBy("c1", "c2").agg(F.min("rid").alias("rid"), F.min("id").alias("least"), F.first("n").alias("n")))
@@ -357,6 +358,7 @@ def link_components(
                     raw = g[pick].tobytes()
                     arrays.append(pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array((uid << 16) + rows), pa.array(size[rows].astype(np.int64)), *arrays], names=["rid", "n", "rare", "common"])
+        trim()
 
     live = checkpoint(table.mapInArrow(classing, "rid long, n long, rare binary, common binary"))
     del table

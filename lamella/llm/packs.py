@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from lamella.session import ship
 
-from ._common import checkpoint, partitions_for, release, text_buffers
+from ._common import checkpoint, partitions_for, release, text_buffers, trim
 
-PACK = 2 << 20
+PACK = 1 << 20
 #: rows of a pack at most: a row is named by 16 bits within its pack
 PACK_ROWS = (1 << 16) - 1
 #: items that a bucket holds, about
@@ -66,6 +66,7 @@ def packs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lo = hi
         if ids:
             yield row()
+        trim()
 
     out = rows.mapInArrow(pack, f"uid long, ids array<{id_type}>, size long, x binary")
     return checkpoint(out)
@@ -125,6 +126,7 @@ def round_trip(table: DataFrame, items: Callable, judge: Callable, kind: str, bu
                 at = _starts(b)
                 xs = [pickle.dumps((low[s:e].tobytes(), payload(slice(s, e))), protocol=5) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([uid[i]] * len(xs), pa.int64()), pa.array(b[at], pa.int32()), pa.array(xs, pa.binary())], names=["uid", "b", "x"])
+        trim()
 
     def answers_of(b: int, members: list) -> pa.RecordBatch:
         got = []
@@ -155,6 +157,7 @@ def round_trip(table: DataFrame, items: Callable, judge: Callable, kind: str, bu
                 members.append((u, x))
         if members:
             yield answers_of(now, members)
+        trim()
 
     sent = table.mapInArrow(send, "uid long, b int, x binary").repartition(buckets, "b").sortWithinPartitions("b")
     answers = checkpoint(sent.mapInArrow(receive, "uid long, b int, n int, r binary"))
