@@ -5,11 +5,13 @@ from __future__ import annotations
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lamella.session import ship
+
 
 def interpolate(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Multilinear values at points in [0, 1] per axis (last column the first array axis' opposite: x, y, z for (z, y, x) arrays)."""
@@ -29,6 +31,7 @@ def grid_column(values: np.ndarray, *coordinates: Column) -> Column:
     """Grid values as a Column; a grid of one node is a literal."""
     if values.size == 1:
         return F.lit(float(values.ravel()[0]))
+    ship(SparkSession.active())
 
     @pandas_udf(T.DoubleType())
     def f(*cols):

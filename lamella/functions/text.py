@@ -42,6 +42,16 @@ def stack_path(folder: Column, series: Column, windows: bool = False) -> Column:
     return F.replace(F.replace(F.replace(path, F.lit("/"), F.lit("\\")), F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
 
 
+# Fixed value: tomogram names that tell their series.
+TOMOGRAM = r"^(?:.*/)?(.+)\.mrc_[\d.]+Apx\.mrc$"
+
+
+def xml_path(c: Column, folder: str, pattern: str = TOMOGRAM, suffix: str = ".mrc.xml") -> Column:
+    """Path of a tomogram's XML: the pattern's first group with ``suffix``; null where the name does not begin with a match."""
+    begins = "^(?:" + pattern + ")"
+    return F.when(c.rlike(begins), F.concat(F.lit(folder.rstrip("/") + "/"), F.regexp_extract(c, begins, 1), F.lit(suffix)))
+
+
 def list_entries(c: Column) -> Column:
     """Entries of a newline list; one trailing empty entry is dropped."""
     parts = F.split(c, "\n")

@@ -19,6 +19,14 @@ def robust_stats(df: DataFrame, value: str, by: list[str] | None = None) -> Data
     )
 
 
+def tail_percentiles(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, p50, p90, p99, most) over finite values."""
+    v = F.col(value).cast("double")
+    fine = df.filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    p = F.percentile(v, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99)]))
+    return fine.groupBy(*by).agg(p.alias("p"), F.max(v).alias("most")).select(*by, *[F.col("p")[i].alias(k) for i, k in enumerate(("p50", "p90", "p99"))], "most")
+
+
 def shell(r: Column, step: float, bins: int) -> Column:
     """Shell of a radius; the last one takes all beyond."""
     return F.least((r / step).cast("int"), F.lit(bins - 1))

@@ -57,6 +57,21 @@ def delete_and_renumber(df: DataFrame, series: str, index: str, gone: Column) ->
     return df.filter(~F.coalesce(gone, F.lit(False))).withColumn("new_index", (F.row_number().over(w) - 1).cast("long"))
 
 
+def contiguous(df: DataFrame, series: str, key: str, name: str = "id") -> DataFrame:
+    """``name``: the keys of a series renumbered 1.. in order, equal keys alike."""
+    return df.withColumn(name, F.dense_rank().over(Window.partitionBy(series).orderBy(key)).cast("long"))
+
+
+def with_files(df: DataFrame, movie: str, files: DataFrame) -> DataFrame:
+    """Tilts with ``file``: the first of ``files`` (path) whose name begins with the movie's stem and a dot, .mrc before others."""
+    from lamella.functions.text import basename, stem
+
+    named = files.select("path", basename(F.col("path")).alias("_f")).distinct()
+    named = named.withColumn("_k", F.explode(F.expr("transform(filter(sequence(1, length(_f)), i -> substr(_f, i, 1) = '.'), i -> substr(_f, 1, i - 1))")))
+    best = named.groupBy("_k").agg(F.min(F.struct((F.col("_f") != F.concat("_k", F.lit(".mrc"))).alias("other"), "_f", "path"))["path"].alias("file"))
+    return df.join(best, stem(F.col(movie)) == F.col("_k"), "left").drop("_k")
+
+
 def angle_fit(df: DataFrame, series: str, old: str, new: str) -> DataFrame:
     """(series, n, corr, sign): correlation 1 without variance or with two views at most; sign -1 from -0.8 down."""
     r = F.coalesce(F.corr(old, new), F.lit(1.0))

@@ -150,6 +150,15 @@ def erode_ball(vox: DataFrame, dims: tuple[int, int, int], radius: float, iterat
     return vox
 
 
+def outside(particles: DataFrame, dims: tuple[int, int, int]) -> DataFrame:
+    """Particles (cz, cy, cx in voxels) whose nearest voxel is not in the volume."""
+    at = [F.bround(F.col(f"c{c}"), 0) for c in "zyx"]
+    inside = F.lit(True)
+    for a, n in zip(at, dims, strict=True):
+        inside &= (a >= 0) & (a < n)
+    return particles.filter(~F.coalesce(inside, F.lit(False)))
+
+
 def paint_spheres(particles: DataFrame, dims: tuple[int, int, int], radius: float) -> DataFrame:
     """(vol, z, y, x, label): voxels within ``radius`` of a centre (columns vol, label, cz, cy, cx in voxels), by the nearest; ties to the smaller label."""
     r = int(radius) + 1

@@ -79,6 +79,11 @@ def bind(particles: DataFrame, optics: DataFrame | None = None, group: str | Non
     return Binding(kind, found, coordinates(cols), size, origins, key, warnings)
 
 
+def unknown_optics(particles: DataFrame, optics: DataFrame, key: str = "rlnOpticsGroup") -> DataFrame:
+    """(key, n): optics groups of particles that have no row, with their particles."""
+    return particles.join(optics.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_optics(particles: DataFrame, optics: DataFrame, columns: list[str], key: str = "rlnOpticsGroup") -> DataFrame:
     """Particles with the optics columns; particles of an unknown optics group raise ValueError. Without a key, the first row serves all."""
     new = [c for c in columns if c in optics.columns and c != key]
@@ -86,8 +91,7 @@ def with_optics(particles: DataFrame, optics: DataFrame, columns: list[str], key
     if key not in particles.columns:
         first = optics.select(*new).first()
         return base.withColumns({c: F.lit(first[c]) for c in new})
-    lost = particles.join(optics, key, "left_anti").limit(1).count()
-    if lost:
+    if not unknown_optics(particles, optics, key).isEmpty():
         raise ValueError("particles of an unknown optics group")
     return base.join(optics.select(key, *new), key, "left")
 

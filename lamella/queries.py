@@ -18,6 +18,7 @@ from .operators import split as S
 from .operators import stats as A
 from .operators import tilts as L
 from .operators import voxels as V
+from .plans import binder as B
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -111,13 +112,14 @@ def split_range_bins(spark, d):
 
 @query("""SELECT upper(l_returnflag) || '_' || CASE WHEN l_quantity < 25 THEN 'lt25' ELSE 'ge25' END AS label, count(*) AS n FROM lineitem GROUP BY ALL""")
 def split_combo_labels(spark, d):
-    label = F.concat_ws("_", "l_returnflag", S.range_label(S.range_bin(F.col("l_quantity"), [25]), [25]))
-    return table(spark, d, "lineitem").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    li = table(spark, d, "lineitem").withColumn("range", S.range_label(S.range_bin(F.col("l_quantity"), [25]), [25]))
+    return S.split_plan(li, ["l_returnflag", "range"], "l_orderkey", "").select(F.col("path").alias("label"), "n")
 
 
 @query("""SELECT lower(l_returnflag) || '.star' AS path, count(*) AS times FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem) GROUP BY 1 HAVING count(*) > 1""")
 def split_collisions(spark, d):
-    plan = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct().select(F.concat(F.lower("l_returnflag"), F.lit(".star")).alias("path"))
+    li = table(spark, d, "lineitem").select(F.lower("l_returnflag").alias("a"), "l_linestatus", "l_orderkey")
+    plan = S.split_plan(li, ["a", "l_linestatus"], "l_orderkey").withColumn("path", F.concat("a", F.lit(".star")))  # names by the first key only
     return S.collisions(plan)
 
 
@@ -144,15 +146,15 @@ def pixel_mismatch(spark, d):
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity * p_size - l_tax, 6) AS pos FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
 def optics_join(spark, d):
-    li, part = table(spark, d, "lineitem"), table(spark, d, "part").select("p_partkey", "p_size")
-    return li.join(part, li.l_partkey == part.p_partkey, "left").select("l_orderkey", "l_linenumber", r6(F.col("l_quantity") * F.col("p_size") - F.col("l_tax")).alias("pos"))
+    li = table(spark, d, "lineitem").withColumn("rlnOpticsGroup", F.col("l_partkey"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("rlnOpticsGroup"), "p_size")
+    return B.with_optics(li, part, ["p_size"]).select("l_orderkey", "l_linenumber", r6(F.col("l_quantity") * F.col("p_size") - F.col("l_tax")).alias("pos"))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey < 12) GROUP BY 1")
 def optics_missing(spark, d):
-    c = table(spark, d, "customer").filter("c_nationkey < 12")
-    o = table(spark, d, "orders")
-    return o.join(c, o.o_custkey == c.c_custkey, "left_anti").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    c = table(spark, d, "customer").filter("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey"))
+    return B.unknown_optics(table(spark, d, "orders"), c, "o_custkey")
 
 
 # ------------------------------------------------------------ tilt series
@@ -206,8 +208,7 @@ def delete_tilts(spark, d):
 
 @query("SELECT user_id, event_id, dense_rank() OVER (PARTITION BY user_id ORDER BY event_type) AS id FROM events")
 def renumber_views(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_type")
-    return table(spark, d, "events").select("user_id", "event_id", F.dense_rank().over(w).cast("long").alias("id"))
+    return L.contiguous(table(spark, d, "events"), "user_id", "event_type").select("user_id", "event_id", "id")
 
 
 @query("""WITH c AS (SELECT event_type, count(*) AS n, corr(event_id, value) AS r FROM events GROUP BY 1)
@@ -485,15 +486,4 @@ def compact_float(spark, d):
     return table(spark, d, "events").select("event_id", T.compact_float(F.col("value") / 7 - 5).alias("num"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-t AS (SELECT doc_id, n, line, length(line) AS len FROM l), h AS (SELECT doc_id, min(n) AS h FROM t WHERE len < 60 GROUP BY 1),
-b AS (SELECT t.doc_id, min(t.n) AS b FROM t JOIN h ON t.doc_id = h.doc_id AND t.n > h.h WHERE t.len >= 60 GROUP BY 1)
-SELECT t.doc_id, count(*) AS n_lines, max(t.n) AS last FROM t JOIN h ON t.doc_id = h.doc_id LEFT JOIN b ON b.doc_id = t.doc_id WHERE t.n >= h.h AND (b.b IS NULL OR t.n < b.b) GROUP BY 1""")
-def first_table_lines(spark, d):
-    """The first run of short lines of each text, as the first table of a log is found."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("short", F.char_length("line") < 60)
-    w = Window.partitionBy("doc_id").orderBy("n")
-    begun = F.max("short").over(w)
-    rows = lines.withColumn("begun", begun).filter("begun")
-    rows = rows.withColumn("over", F.max(~F.col("short")).over(w)).filter("NOT over")
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), (F.max("n") + 1).cast("long").alias("last"))
+from . import queries_more  # noqa: E402, F401  registers its queries

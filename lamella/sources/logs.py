@@ -13,8 +13,16 @@ from .star import file_path, numbered_lines
 
 
 def read_alignment_log(spark: SparkSession, path: str) -> DataFrame:
-    """(path, view, tilt) of each log's first table: from its first header to the first row that is no number."""
-    l = numbered_lines(spark, path).withColumn("t", F.split(F.trim("line"), r"\s+"))  # noqa: E741
+    """``alignment_log`` of files."""
+    return alignment_log(numbered_lines(spark, path))
+
+
+def alignment_log(lines: DataFrame) -> DataFrame:
+    """(path, view, tilt) of each log's first table: from its first header to the first row that is no number.
+
+    ``lines`` has (path, n, line), as for all readers of lines here.
+    """
+    l = lines.withColumn("t", F.split(F.trim("line"), r"\s+"))  # noqa: E741
     w = Window.partitionBy("path").orderBy("n")
     l = l.withColumn("header", F.get("t", F.lit(0)) == "view").withColumn("seen", F.sum(F.col("header").cast("int")).over(w))  # noqa: E741
     rows = l.filter("seen = 1 AND NOT header AND trim(line) <> ''").withColumn("bad", ~F.get("t", F.lit(0)).rlike(r"^\d+$"))
@@ -23,10 +31,15 @@ def read_alignment_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_acquisition_log(spark: SparkSession, path: str) -> DataFrame:
+    """``acquisition_log`` of files."""
+    return acquisition_log(numbered_lines(spark, path))
+
+
+def acquisition_log(lines: DataFrame) -> DataFrame:
     """(path, zvalue, movie, dose, stamp, time): one row a [ZValue = k] section; other bracketed lines end a section."""
     from lamella.functions.text import log_time, stem
 
-    l = numbered_lines(spark, path).withColumn("line", F.trim("line"))  # noqa: E741
+    l = lines.withColumn("line", F.trim("line"))  # noqa: E741
     w = Window.partitionBy("path").orderBy("n")
     l = l.withColumn("section", F.sum(F.col("line").startswith("[").cast("int")).over(w))  # noqa: E741
     head = F.regexp_extract("line", r"^\[ZValue\s*=\s*(\d+)\]", 1)
@@ -49,8 +62,13 @@ def acquisition_problems(log: DataFrame) -> DataFrame:
 
 
 def read_tomostar(spark: SparkSession, path: str) -> DataFrame:
+    """``tomostar`` of files."""
+    return tomostar(numbered_lines(spark, path))
+
+
+def tomostar(lines: DataFrame) -> DataFrame:
     """(path, n, line, tokens, columns): data rows with their line numbers, up to the first blank line after data."""
-    l = numbered_lines(spark, path).withColumn("s", F.trim("line"))  # noqa: E741
+    l = lines.withColumn("s", F.trim("line"))  # noqa: E741
     w = Window.partitionBy("path").orderBy("n")
     name = F.col("s").startswith("_")
     data = ~name & (F.col("s") != "") & ~F.col("s").startswith("#") & ~F.col("s").isin("loop_") & ~F.col("s").startswith("data_")
@@ -76,9 +94,14 @@ def replace_token(line: str, position: int, value: str) -> str:
 
 
 def read_coordinates(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """``coordinates`` of one file."""
+    return coordinates(numbered_lines(spark, path), strict)
+
+
+def coordinates(lines: DataFrame, strict: bool = False) -> DataFrame:
     """(_row, x, y, z) of three-column text; commas count as blanks. One leading bad row is a header unless ``strict``."""
     body = F.regexp_replace("line", "#.*$", "") if strict else F.when(F.trim("line").startswith("#"), "").otherwise(F.col("line"))
-    l = numbered_lines(spark, path).withColumn("s", F.trim(F.regexp_replace(body, ",", " "))).filter("s <> ''")  # noqa: E741
+    l = lines.withColumn("s", F.trim(F.regexp_replace(body, ",", " "))).filter("s <> ''")  # noqa: E741
     l = l.withColumn("t", F.split("s", r"\s+")).withColumn("i", F.row_number().over(Window.partitionBy("path").orderBy("n")) - 1)  # noqa: E741
     num = [F.expr(f"try_cast(get(t, {k}) AS double)") for k in range(3)]
     l = l.withColumns({c: e for c, e in zip("xyz", num, strict=True)}).withColumn("bad", F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull() | ((F.size("t") != 3) if strict else F.lit(False)))  # noqa: E741
@@ -129,6 +152,58 @@ def mean_defocus(xml: DataFrame) -> DataFrame:
     return n.groupBy("path").agg(F.bround(F.avg("a"), 0).alias("defocus"))
 
 
+def settings(xml: DataFrame) -> DataFrame:
+    """(path, params, pixel, dims): the Param names and values of settings XML (path, xml); the pixel size by PixelSize, else
+    PixelSizeMean; the box in unbinned pixels. What is missing or no number is null."""
+    names, values = F.expr("xpath(xml, '//Param[@Name and @Value]/@Name')"), F.expr("xpath(xml, '//Param[@Name and @Value]/@Value')")
+    p = F.map_from_entries(F.reverse(F.array_distinct(F.arrays_zip(names.alias("k"), values.alias("v")))))
+    out = xml.select("path", p.alias("params"))
+    number = lambda k: F.expr(f"try_cast(params['{k}'] AS double)")
+    size = [F.bround(number(f"Dimensions{a}"), 0).cast("int") for a in "XYZ"]
+    pixel = F.when(F.coalesce(F.col("params")["PixelSize"], F.lit("")) != "", number("PixelSize")).otherwise(number("PixelSizeMean"))
+    return out.select("path", "params", pixel.alias("pixel"), F.when(size[0].isNotNull() & size[1].isNotNull() & size[2].isNotNull(), F.array(*size)).alias("dims"))
+
+
+def loop_header(lines: DataFrame, prefix: str = "_rln") -> DataFrame:
+    """(path, columns, first): the labels with ``prefix`` in order and the number of the first line after them that is
+    neither blank nor a label; files without both have no row."""
+    l = lines.withColumn("s", F.trim("line"))  # noqa: E741
+    name = F.col("s").startswith(prefix)
+    l = l.withColumn("label", name).withColumn("begun", F.max(name).over(Window.partitionBy("path").orderBy("n")))  # noqa: E741
+    first = l.filter("begun AND NOT label AND s <> ''").groupBy("path").agg(F.min("n").alias("first"))
+    heads = l.filter("label").join(first, "path").filter("n < first")
+    entry = F.struct("n", F.trim(F.substring_index("s", "#", 1)).alias("c"))
+    return heads.groupBy("path", "first").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["c"]).alias("columns")).select("path", "columns", "first")
+
+
+def coordinate_format(path: str, kind: str = "auto") -> str:
+    """"star" or "txt", by the extension where ``kind`` is "auto"."""
+    if kind == "auto":
+        return "star" if path.lower().endswith(".star") else "txt"
+    if kind not in ("star", "txt"):
+        raise ValueError(f"unknown format {kind!r}")
+    return kind
+
+
+def series_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """(series): the sub-folders of a folder on any store, sorted; loose files do not count."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(conf).listStatus(path)
+    return spark.createDataFrame([(s.getPath().getName(),) for s in found if s.isDirectory()], "series string").orderBy("series")
+
+
+def expand(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Paths that match each pattern, sorted; a pattern that matches nothing stands for itself."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for pattern in patterns:
+        path = jvm.org.apache.hadoop.fs.Path(pattern)
+        found = path.getFileSystem(conf).globStatus(path)
+        out += sorted(re.sub("^file:/+", "/", s.getPath().toString()) for s in found or []) or [pattern]
+    return out
+
+
 def backup(path: str, to: str | None = None) -> str:
     """Copy to ``to`` (the file with .bak), or with .1, .2, ... after it where that exists; return the copy's name."""
     import shutil

@@ -39,9 +39,10 @@ def read_mrc(path: str) -> tuple[np.ndarray, Header]:
 
 
 def write_mrc(path: str, data: np.ndarray, voxel: float = 1.0, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> None:
-    """float32, float16, int8, int16 or uint16 as they are; bool and uint8 masks as int8; others as float32."""
+    """float32, float16, int8, int16 or uint16 as they are; bool and uint8 as int8, or uint16 beyond 127; others as float32."""
     kind = np.dtype(data.dtype)
-    kind = np.dtype(np.int8) if kind in (np.dtype(bool), np.dtype(np.uint8)) else kind
+    if kind in (np.dtype(bool), np.dtype(np.uint8)):
+        kind = np.dtype(np.uint16 if data.size and data.max() > 127 else np.int8)
     mode = next((m for m, k in MODES.items() if np.dtype(k) == kind), 2)
     data = np.ascontiguousarray(data, MODES[mode])
     nz, ny, nx = data.shape
@@ -103,3 +104,25 @@ def register(spark: SparkSession) -> None:
 
     spark.dataSource.register(MrcSource)
     spark.dataSource.register(StarSource)
+
+
+def png(image: np.ndarray) -> bytes:
+    """An 8-bit grey PNG of a 2-D array: mean -+ three deviations of its central half to black and white."""
+    import zlib
+
+    h, w = image.shape
+    middle = image[h // 4 : h - h // 4, w // 4 : w - w // 4].astype(float)
+    low, high = middle.mean() - 3 * middle.std(), middle.mean() + 3 * middle.std()
+    grey = np.clip((image - low) / (high - low if high > low else 1.0) * 255, 0, 255).astype(np.uint8)
+    raw = np.c_[np.zeros(h, np.uint8), grey].tobytes()  # a filter byte before each line
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">2I5B", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def write_preview(path: str, volume: np.ndarray) -> None:
+    """The central section of a volume as PNG."""
+    with open(path, "wb") as f:
+        f.write(png(volume[volume.shape[0] // 2]))
