@@ -1,13 +1,16 @@
 """LM scoring (2): subword lattice likelihood.
 
-A word's base probability is the marginal over all its segmentations into pieces of an existing unigram vocabulary
-(forward recursion in log space), the whole word being one more arc of the lattice with its discounted share of the
-training tokens. The vocabulary's own scores weight the segmentations first; one expectation step over all training
-words re-weights them. A text's tokens (its words, then one end) are an exchangeable sequence with that base measure:
-a Dirichlet-multinomial whose concentration is chosen over all training texts, each scored without its own counts.
-
-Counting is distributed throughout: every distinct token of the corpus is one row of a table keyed by a 64-bit hash;
-the ``head`` most frequent ones (a fixed number) are broadcast, the others meet the texts in an equi-join.
+A document's lattice has an arc for every piece of an existing unigram vocabulary that its bytes hold, and one for every
+whole word. Arcs do not cross the blanks between words, so the forward recursion over a document is the product of its
+words' marginals: each distinct word's is computed once a class of texts, in log space, over all its segmentations. The
+vocabulary's own scores weight the pieces first; one expectation step over the distinct training words of a class
+re-weights them, since unseen words resemble types rather than tokens. The whole-word arc carries the word's discounted share of the training tokens, by class
+of texts and overall, the pieces what the discounts leave. A text's tokens (its words, then one end) are an exchangeable
+sequence with that base measure: a Dirichlet-multinomial whose concentration is chosen over all training texts, each scored
+without its own counts.
+
+Counting is distributed: every distinct token of the corpus is one row. Packs of texts send their distinct tokens to
+buckets of the vocabulary and get counts and marginals back, so nothing that grows with it is broadcast.
 """
 
 from __future__ import annotations
@@ -17,27 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.session import ship
-
-from ._common import (
-    BYTE,
-    P1,
-    checkpoint,
-    chunks,
-    lower_bytes,
-    prefix_sums,
-    read,
-    release,
-    spans_hash,
-    word_spans,
-)
-
-#: most frequent tokens that are broadcast, 20 bytes each
-HEAD = 1 << 18
+from ._common import BYTE, P1, checkpoint, lower_bytes, mix, prefix_sums, read, release, spans_hash, trim, word_spans
+from .packs import BUCKET, buckets_for, cells, merged, packs, round_trip, unpack
+
+#: re-weightings of the pieces
+ITERATIONS = 2
 #: concentrations tried
 GRID = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 1e6)
 #: bytes of the vocabulary's longest piece
@@ -317,6 +307,21 @@ def _terms(k, ck, c, sub, n, train, stat: dict):
     return own, out, n * np.log10((c + 1) / (total + types + 1)), np.where(c > 0, n, 0)
 
 
+#: what a bucket tells of a token: training counts in the text's class and overall, log marginal of the word's pieces
+ANSWER = np.dtype([("ck", "<i8"), ("c", "<i8"), ("sub", "<f4")])
+
+
+def _look_up(got: list, known: list) -> list[np.ndarray]:
+    """A judge that finds every token in the bucket's part of the vocabulary."""
+    keys = np.concatenate([k for k, _ in known]) if known else np.zeros(0, np.uint64)
+    table = np.zeros(len(keys), ANSWER)
+    for j, name in enumerate(ANSWER.names):
+        table[name] = np.concatenate([p[j] for _, p in known]) if known else table[name]
+    order = np.argsort(keys)
+    keys = keys[order]
+    return [table[order[np.searchsorted(keys, k)]] for k, _ in got]
+
+
 def score_texts(
     docs: DataFrame,
     learn: Column,
@@ -324,36 +329,42 @@ def score_texts(
     text_col: str = "text",
     pieces: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
-    """(id, n_tokens, n_known, train_tokens, base_score, score, concentration) for each distinct id of ``docs``.
+    """(id, n_tokens, n_known, train_tokens, base_score, score, concentration) for each row of ``docs``.
 
     Rows for which ``learn`` holds train the model; all rows are scored. A null or empty text is the end token alone.
-    Rows sharing an id are scored as one text with several ends; a null id is an id. With nothing to learn from,
-    base_score is that of an empty corpus and score comes from the vocabulary's pieces alone. Long texts cost memory
-    in proportion to one text. ``score`` and ``base_score`` are log10 probabilities.
+    Rows that share an id, or are equal, are texts of their own; a null id is an id; other columns play no part. With
+    nothing to learn from, base_score is that of an empty corpus and score comes from the vocabulary's pieces alone. Long
+    texts cost memory in proportion to one text. ``score`` and ``base_score`` are log10 probabilities.
     """
     spark = docs.sparkSession
-    ship(spark)
     hashes, logs = vocabulary_pieces() if pieces is None else pieces
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("train")
-    )
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("train")).alias("key"), F.col(text_col).alias("text"))
+    packed = packs(keyed, "key", "text")
+
+    def opened(batch: pa.RecordBatch, i: int):
+        """(bytes, offsets, whether a row trains) of a pack."""
+        return *unpack(batch.column("x")[i].as_py()), batch.column("ids").slice(i, 1).flatten().field("train").to_numpy(zero_copy_only=False)
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros((SHORT, SHORT))
+        m, texts = np.zeros((SHORT, SHORT)), 0
         for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(batch, "text"):
+            for i in range(batch.num_rows):
+                data, off, train = opened(batch, i)
                 _, s, e, doc, h = tokens(data, off)
-                held = (short_words(s, e, doc, h, hi - lo)[train[lo:hi]] > 0).astype(np.float32)
-                m += held.T @ held
+                held_by = (short_words(s, e, doc, h, len(train))[train] > 0).astype(np.float32)
+                m += held_by.T @ held_by
+                texts += int(train.sum())
         i, j = np.nonzero(np.triu(m))
-        yield pa.RecordBatch.from_arrays([pa.array(i * SHORT + j), pa.array(m[i, j].astype(np.int64))], names=["k", "n"])
-
-    met = np.zeros(SHORT * SHORT)
-    for k, n in rows.mapInArrow(together, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-        met[k] = n  # at most SHORT * SHORT / 2 rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[i * SHORT + j, -1]), pa.array(np.r_[m[i, j], texts].astype(np.int64))], names=["k", "n"])
+
+    met, texts = np.zeros(SHORT * SHORT), 0
+    for k, n in packed.mapInArrow(together, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
+        if k < 0:
+            texts = n
+        else:
+            met[k] = n  # at most SHORT * SHORT / 2 rows
     met = met.reshape(SHORT, SHORT)
-    by_class = class_weights(np.maximum(met, met.T), float(max(rows.filter("train").count(), 1)))
+    by_class = class_weights(np.maximum(met, met.T), float(max(texts, 1)))
 
     def classed(data, off):
         """(lower-cased bytes, starts, ends, document, hash of words; class of documents)."""
@@ -361,16 +372,34 @@ def score_texts(
         n = len(off) - 1
         return data, s, e, doc, h, (short_words(s, e, doc, h, n) @ by_class).argmax(1)
 
+    cs = [f"c{k}" for k in range(CLASSES)]
+    counts_type = ", ".join(f"{c} long" for c in cs)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with their classes and training counts, merged over some packs; the empty word counts training texts."""
+        held: dict = {"h": [], "n": [], "m": [], "w": []}
+        ends = np.zeros(CLASSES, np.int64)
+
+        def merge() -> pa.RecordBatch:
+            u, first, inverse = np.unique(np.concatenate(held["h"]), return_index=True, return_inverse=True)
+            n, m = np.zeros((len(u), CLASSES)), np.zeros((len(u), CLASSES), bool)
+            np.add.at(n, inverse, np.concatenate(held["n"]))
+            np.logical_or.at(m, inverse, np.concatenate(held["m"]))
+            w = pa.concat_arrays(held["w"]).take(pa.array(first)).cast(pa.binary())
+            mask = (m * (1 << np.arange(CLASSES))).sum(1).astype(np.int64)
+            for x in held.values():
+                x.clear()
+            return pa.RecordBatch.from_arrays([w, pa.array(mask), *(pa.array(n[:, k].astype(np.int64)) for k in range(CLASSES))], names=["w", "m", *cs])
+
         for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            held: dict = {"h": [], "n": [], "m": [], "w": []}
-            for lo, hi, data, off in chunks(batch, "text"):
+            for i in range(batch.num_rows):
+                data, off, train = opened(batch, i)
                 data, s, e, doc, h, kind = classed(data, off)
+                ends += np.bincount(kind[train], minlength=CLASSES)
                 u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
                 cell = inverse * CLASSES + kind[doc]
                 held["h"].append(u)
-                held["n"].append(np.bincount(cell, weights=train[lo:hi][doc], minlength=len(u) * CLASSES).reshape(-1, CLASSES))
+                held["n"].append(np.bincount(cell, weights=train[doc], minlength=len(u) * CLASSES).reshape(-1, CLASSES))
                 held["m"].append(np.bincount(cell, minlength=len(u) * CLASSES).reshape(-1, CLASSES) > 0)
                 size = (e - s)[first]
                 end = np.cumsum(size)
@@ -380,209 +409,139 @@ def score_texts(
                         pa.large_binary(), len(u), [None, pa.py_buffer(np.r_[0, end].astype(np.int64)), pa.py_buffer(data[span])]
                     )
                 )
-            if not held["h"]:
-                continue
-            u, first, inverse = np.unique(np.concatenate(held["h"]), return_index=True, return_inverse=True)
-            n, m = np.zeros((len(u), CLASSES)), np.zeros((len(u), CLASSES), bool)
-            np.add.at(n, inverse, np.concatenate(held["n"]))
-            np.logical_or.at(m, inverse, np.concatenate(held["m"]))
-            w = pa.concat_arrays(held["w"]).take(pa.array(first)).cast(pa.binary())
-            mask = (m * (1 << np.arange(CLASSES))).sum(1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([w, pa.array(mask), *(pa.array(n[:, k].astype(np.int64)) for k in range(CLASSES))], names=["w", "m", *cs])
-
-    cs = [f"c{k}" for k in range(CLASSES)]
-    counts_type = ", ".join(f"{c} long" for c in cs)
-    words = rows.mapInArrow(count, f"w binary, m long, {counts_type}").groupBy("w")
-    vocabulary = checkpoint(words.agg(F.bit_or("m").alias("m"), *[F.sum(c).alias(c) for c in cs]))
+                if sum(map(len, held["h"])) > 1 << 20:
+                    yield merge()
+        if held["h"]:
+            yield merge()
+        yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([0]), *(pa.array([int(n)]) for n in ends)], names=["w", "m", *cs])
+        trim()
+
+    words = packed.mapInArrow(count, f"w binary, m long, {counts_type}").groupBy("w")
+    every_word = checkpoint(words.agg(F.bit_or("m").alias("m"), *[F.sum(c).alias(c) for c in cs]))
     release(spark)
-
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CLASSES, np.int64)
-        for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(batch, "text"):
-                n += np.bincount(classed(data, off)[5][train[lo:hi]], minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n)], names=["k", "n"])
-
-    k_ends = np.zeros(CLASSES)
-    for k, n in rows.mapInArrow(kinds, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
-        k_ends[k] = n
+    all_of = sum((F.col(c) for c in cs), F.lit(0))
+    vocabulary = every_word.filter("w <> X''").withColumn("c", all_of)
+    of_end = every_word.filter("w = X''").select(*cs).first()
+    k_ends = np.array([float(of_end[c]) if of_end else 0.0 for c in cs])
     ends = int(k_ends.sum())
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(hashes, logs), np.zeros((CLASSES, len(hashes)))
-        for batch in gathered(batches):
-            weight = np.stack([batch.column(c).to_numpy() for c in cs], 1).astype(float)
-            on = weight.sum(1) > 0
-            buf, off = _marked(batch.column("w").filter(pa.array(on)))
-            total += lattice.words(buf, off, weight[on])[1]
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["k", "x"])
-
-    counts = np.zeros(CLASSES * len(hashes))
-    for k, x in vocabulary.mapInArrow(expect, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
-        counts[k] = x  # one row a class and piece of the vocabulary
-    counts = counts.reshape(CLASSES, -1)
-    every = counts.sum(0)
-    prior = (every + 1e-3 * max(every.sum(), 1.0) * np.exp(logs)) / (every.sum() + 1e-3 * max(every.sum(), 1.0))
-    smooth = counts + 1e-2 * np.maximum(counts.sum(1, keepdims=True), 1.0) * prior
-    trained = np.log(smooth / (smooth.sum(1, keepdims=True) + k_ends[:, None]))
-    end_log = np.log(np.maximum(k_ends, 1) / (smooth.sum(1) + np.maximum(k_ends, 1)))
-
-    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = [Lattice(hashes, x) for x in trained]
-        for batch in gathered(batches):
-            n = np.stack([batch.column(c).to_numpy() for c in cs], 1)
-            mask = batch.column("m").to_numpy()
-            for k in range(CLASSES):
-                on = (mask >> k) & 1 == 1
-                w = batch.column("w").filter(pa.array(on))
-                buf, off = _marked(w)
-                sub = lattices[k].words(buf, off)
-                bare = np.delete(buf, off[:-1])
-                o = off - np.arange(len(off))
-                h = spans_hash(prefix_sums(BYTE[bare], P1), o[:-1], o[1:], P1) + np.uint64(STEP * k % 2**64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(np.full(len(o) - 1, k)), pa.array(n[on, k]), pa.array(n[on].sum(1)), pa.array(sub)], names=["h", "k", "ck", "c", "sub"]
-                )
-
-    table = checkpoint(vocabulary.mapInArrow(marginal, "h long, k long, ck long, c long, sub double"))
-
-    def numbers(df: DataFrame, by: list, c: str) -> list:
-        one = lambda cond: F.sum((cond).cast("long"))
-        c = F.col(c)
-        return df.groupBy(*by).agg(F.sum(c).alias("n"), one(c > 0).alias("v"), one(c == 1).alias("n1"), one(c == 2).alias("n2")).collect()
-
-    def discounts(r, more: float):
+    def expected(weights: np.ndarray) -> np.ndarray:
+        """Expected counts of the pieces over the distinct training words of each class, under log ``weights`` by class."""
+
+        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattices, total = [Lattice(hashes, x) for x in weights], np.zeros((CLASSES, len(hashes)))
+            for batch in gathered(batches):
+                for k, lattice in enumerate(lattices):
+                    w = batch.column("w").filter(pa.array(batch.column(cs[k]).to_numpy() > 0))
+                    total[k] += lattice.words(*_marked(w), np.ones((len(w), 1)))[1][0]
+            at = np.flatnonzero(total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["k", "x"])
+            trim()
+
+        out = np.zeros(CLASSES * len(hashes))
+        for k, x in vocabulary.filter("c > 0").select("w", *cs).mapInArrow(expect, "k long, x double").groupBy("k").agg(F.sum("x")).collect():
+            out[k] = x  # one row a class and piece of the vocabulary
+        return out.reshape(CLASSES, -1)
+
+    trained = np.tile(logs, (CLASSES, 1))
+    for _ in range(ITERATIONS):
+        counts = expected(trained)
+        smooth = counts.sum(0) + 1e-3 * max(counts.sum(), 1.0) * np.exp(logs)
+        smooth = counts + 1e-2 * np.maximum(counts.sum(1, keepdims=True), 1.0) * smooth / smooth.sum()
+        trained = np.log(smooth / smooth.sum(1, keepdims=True))
+
+    numbers = []  # tokens, types, types seen once and twice: of each class, then overall
+    for c in [*cs, "c"]:
+        numbers += [F.sum(c), F.sum((F.col(c) > 0).cast("long")), F.sum((F.col(c) == 1).cast("long")), F.sum((F.col(c) == 2).cast("long"))]
+    numbers = np.array([float(x or 0) for x in vocabulary.agg(*[x.alias(f"n{i}") for i, x in enumerate(numbers)]).collect()[0]]).reshape(-1, 4)
+
+    def discounts(n, v, n1, n2, more: float):
         """(tokens, types, discount, weight of the back-off) with the end token's count ``more``."""
-        n, v = (r["n"] or 0) + more, (r["v"] or 0) + (more > 0)
-        d = min(max(r["n1"] / (r["n1"] + 2 * r["n2"]), 0.1), 0.95) if r["n1"] else 0.5
-        return (float(n), float(v), d, d * v / n) if n else (1.0, 0.0, 0.0, 1.0)
-
-    whole = numbers(vocabulary.select(sum((F.col(c) for c in cs), F.lit(0)).alias("c")), [], "c")[0]
-    total, types = int((whole["n"] or 0) + ends), int((whole["v"] or 0) + (ends > 0))
-    parts_of = {r["k"]: r for r in numbers(table, ["k"], "ck")}
-    none = {"n": 0, "v": 0, "n1": 0, "n2": 0}
-    per = np.array([discounts(parts_of.get(k, none), k_ends[k]) for k in range(CLASSES)])
-    a_total, _, a_discount, a_back = discounts(whole, ends)
+        n, v = n + more, v + (more > 0)
+        d = min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
+        return (n, v, d, d * v / n) if n else (1.0, 0.0, 0.0, 1.0)
+
+    total, types = int(numbers[-1, 0] + ends), int(numbers[-1, 1] + (ends > 0))
+    per = np.array([discounts(*numbers[k], k_ends[k]) for k in range(CLASSES)])
+    a_total, _, a_discount, a_back = discounts(*numbers[-1], ends)
     stat = {"total": a_total if total else 0.0, "types": float(types), "discount": a_discount, "back": a_back, "k_total": per[:, 0], "k_discount": per[:, 2], "k_back": per[:, 3]}
     if not total:
         stat["total"], stat["types"] = 1.0, -1.0  # base_score of an empty corpus: log10(1 / 1)
     class_log = np.log((k_ends + 1) / (ends + CLASSES))
+    end_share = (ends + 1) / (total + 2)
 
-    levels = table.groupBy(F.least("c", F.lit(100_000)).alias("c")).count().orderBy(F.desc("c")).collect()
-    room, least = HEAD, 100_001
-    for level in levels:
-        room -= level["count"]
-        if room < 0 or level["c"] <= 1:
-            break
-        least = level["c"]
-    top = table.filter(F.col("c") >= least).toPandas()  # at most HEAD rows of 24 bytes
-    top = top.sort_values("h", key=lambda x: x.to_numpy().view(np.uint64))
-    head = spark.sparkContext.broadcast((top["h"].to_numpy().view(np.uint64).copy(), top["ck"].to_numpy().astype(float), top["c"].to_numpy().astype(float), top["sub"].to_numpy()))
-    k = len(GRID)
-    sums = [f"s{i}" for i in range(2 * k)] + ["base"]
-    sums_type = ", ".join(f"{c} double" for c in sums)
+    buckets = max(buckets_for(packed, 0), -(-int(numbers[:-1, 1].sum()) // BUCKET))
+
+    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The vocabulary by bucket: a row for each word and class it occurs in, with its marginal."""
+        lattices = [Lattice(hashes, x) for x in trained]
+        for batch in gathered(batches):
+            n = np.stack([batch.column(c).to_numpy() for c in cs], 1)
+            mask = batch.column("m").to_numpy()
+            buf, off = _marked(batch.column("w"))
+            bare, o = np.delete(buf, off[:-1]), off - np.arange(len(off))
+            h = spans_hash(prefix_sums(BYTE[bare], P1), o[:-1], o[1:], P1)
+            word, k = np.nonzero((mask[:, None] >> np.arange(CLASSES)) & 1)
+            sub = np.zeros(len(word))
+            for j in range(CLASSES):
+                some = batch.column("w").filter(pa.array((mask >> j) & 1 == 1))
+                sub[k == j] = lattices[j].words(*_marked(some)) + math.log1p(-end_share)
+            keys = class_keys(h[word], k)
+            order = np.argsort(keys)
+            word, k, sub = word[order], k[order], sub[order]
+            parts = n[word, k], n[word].sum(1), sub.astype(np.float32)
+            bs, xs = cells(keys[order], buckets, 7, lambda s: tuple(x[s] for x in parts))  # noqa: B023
+            yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int32()), pa.array(xs, pa.binary())], names=["b", "x"])
+        trim()
+
+    given = vocabulary.mapInArrow(marginal, "b int, x binary")
+    asked = round_trip(packed, lambda batch, i: (np.unique(_keys(classed, *opened(batch, i)[:2])[0]), lambda s: None), _look_up, ANSWER, buckets, "found", 7, given)
+    steps = len(GRID)
+    names = [f"s{i}" for i in range(2 * steps)]
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def pairs(data, off):
-        """Distinct (document, token in the document's class) with counts; the classes."""
-        _, _, _, doc, h, kind = classed(data, off)
-        h = h + np.uint64(STEP) * kind[doc].astype(np.uint64)
-        order = np.lexsort((h, doc))
-        doc, h = doc[order], h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        return doc[at], h[at], np.diff(np.r_[at, len(h)]), kind
-
-    def split_head(h, head_h):
-        at = np.minimum(np.searchsorted(head_h, h), max(len(head_h) - 1, 0))
-        return at, (head_h[at] == h) if len(head_h) else np.zeros(len(h), bool)
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh, hk, hc, hs = head.value
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            train_all = batch.column("train").to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in chunks(batch, "text"):
-                m, train = hi - lo, train_all[lo:hi]
-                doc, h, n, kind = pairs(data, off)
+            for i in range(batch.num_rows):
+                data, off, train = opened(batch, i)
+                keys, doc, kind = _keys(classed, data, off)
+                m = len(train)
+                found = merged(batch, i, "found", ANSWER)
+                code, n = np.unique(doc * max(len(found), 1) + np.unique(keys, return_inverse=True)[1], return_counts=True)
+                doc, at = code // max(len(found), 1), code % max(len(found), 1)
+                f = found[at] if len(code) else found
+                own, loo, base, known = _terms(kind[doc], f["ck"].astype(float), f["c"].astype(float), f["sub"].astype(float), n, train[doc], stat)
+                e_own, e_loo, e_base, e_known = _terms(kind, k_ends[kind], np.full(m, float(ends)), np.full(m, math.log(end_share)), np.ones(m, np.int64), train, stat)
+                sums = lambda x, y: np.bincount(doc, weights=x, minlength=m) + y  # noqa: B023, E731
                 size = np.bincount(doc, weights=n, minlength=m).astype(np.int64) + 1
-                at, hit = split_head(h, hh)
-                doc, n, at = doc[hit], n[hit], at[hit]
-                own, loo, base, known = _terms(kind[doc], hk[at], hc[at], hs[at], n, train[doc], stat)
-                out = [np.bincount(doc, weights=x, minlength=m).astype(float) for x in (*own, *loo, base)]
-                one = np.ones(m, np.int64)
-                e = _terms(kind, k_ends[kind], np.full(m, float(ends)), end_log[kind], one, train, stat)
-                for i, (x, y) in enumerate(zip(out, (*e[0], *e[1], e[2]), strict=True)):
-                    x += y + (class_log[kind] if i < len(GRID) else 0.0)
-                known = np.bincount(doc, weights=known, minlength=m).astype(np.int64) + e[3].astype(np.int64)
+                out = [sums(x, y) + class_log[kind] - rising(np.full(m, a), size) for x, y, a in zip(own, e_own, GRID, strict=True)]
+                out += [sums(x, y) - rising(np.full(m, a), size) for x, y, a in zip(loo, e_loo, GRID, strict=True)]
+                ids = batch.column("ids").slice(i, 1).flatten()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, m), batch.column("train").slice(lo, m), pa.array(size), pa.array(known), *map(pa.array, out)],
-                    names=["id", "train", "n_tokens", "n_known", *sums],
+                    [ids.field("id"), pa.array(train), pa.array(size), pa.array(sums(known, e_known).astype(np.int64)), pa.array(sums(base, e_base)), *map(pa.array, out)],
+                    names=["id", "train", "n_tokens", "n_known", "base", *names],
                 )
+        trim()
 
-    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh = head.value[0]
-        for batch in batches:
-            for lo, hi, data, off in chunks(batch, "text"):
-                doc, h, n, _ = pairs(data, off)
-                rare = ~split_head(h, hh)[1]
-                at = pa.array(doc[rare])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(lo, hi - lo).take(at), batch.column("train").slice(lo, hi - lo).take(at), pa.array(h[rare].view(np.int64)), pa.array(n[rare].astype(np.int32))],
-                    names=["id", "train", "h", "n"],
-                )
+    scored = asked.mapInArrow(score, f"id {id_type}, train boolean, n_tokens long, n_known long, base double, " + ", ".join(f"{c} double" for c in names))
+    scored = checkpoint(scored)
+    fit = scored.filter("train").agg(*[F.sum(c).alias(c) for c in names[steps:]]).collect()[0]
+    best = max(range(steps), key=lambda i: fit[i]) if fit[0] is not None else 2
+    return scored.select(
+        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"), (F.col(names[best]) / math.log(10)).alias("score"), F.lit(GRID[best]).alias("concentration"),
+    )
 
-    def rare_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, train = batch.column("n").to_numpy().astype(np.int64), batch.column("train").to_numpy(zero_copy_only=False)
-            k, ck, c, sub = (batch.column(x).to_numpy() for x in ("k", "ck", "c", "sub"))
-            own, loo, base, known = _terms(k, ck.astype(float), c.astype(float), sub, n, train, stat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("train"), pa.array(np.zeros(len(n), np.int64)), pa.array(known.astype(np.int64)), *map(pa.array, (*own, *loo, base))],
-                names=["id", "train", "n_tokens", "n_known", *sums],
-            )
-
-    out_type = f"id {id_type}, train boolean, n_tokens long, n_known long, {sums_type}"
-    rare = rows.mapInArrow(tails, f"id {id_type}, train boolean, h long, n int").join(
-        table.filter(F.col("c") < least), "h"
-    )
-    parts = rows.mapInArrow(heads, out_type).unionByName(
-        rare.select("id", "train", "n", "k", "ck", "c", "sub").mapInArrow(rare_terms, out_type)
-    )
-    texts = checkpoint(
-        parts.groupBy("id").agg(
-            F.max("train").alias("train"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", *sums)]
-        )
-    )
-    norm = texts.filter("train").select("n_tokens", *sums)
 
-    def logs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            x = [float((batch.column(f"s{k + i}").to_numpy() - rising(np.full(len(n), a), n)).sum()) for i, a in enumerate(GRID)]
-            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in x], names=[f"x{i}" for i in range(k)])
+def class_keys(h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Keys of tokens in classes."""
+    return mix(h + np.uint64(STEP) * kind.astype(np.uint64))
 
-    fit = norm.mapInArrow(logs_of, ", ".join(f"x{i} double" for i in range(k))).agg(*[F.sum(f"x{i}").alias(f"x{i}") for i in range(k)]).collect()[0]
-    best = max(range(k), key=lambda i: fit[i] if fit[i] is not None else 0.0) if fit[0] is not None else 2
-    a = GRID[best]
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.column("n_tokens").to_numpy()
-            score = (batch.column(f"s{best}").to_numpy() - rising(np.full(len(n), a), n)) / math.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("n_tokens"), batch.column("n_known"), batch.column("base"), pa.array(score)],
-                names=["id", "n_tokens", "n_known", "base_score", "score"],
-            )
-
-    scored = texts.select("id", "n_tokens", "n_known", "base", f"s{best}").mapInArrow(
-        final, f"id {id_type}, n_tokens long, n_known long, base_score double, score double"
-    )
-    return scored.select(
-        F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", F.lit(a).alias("concentration")
-    )
+def _keys(classed, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document) of a pack's words and the documents' classes."""
+    _, _, _, doc, h, kind = classed(data, off)
+    return class_keys(h, kind[doc]), doc, kind
 
 
 def _marked(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

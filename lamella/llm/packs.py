@@ -105,37 +105,47 @@ def merged(batch: pa.RecordBatch, i: int, column: str, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(pa.decompress(r, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind) for _, n, r in parts])
 
 
-def round_trip(table: DataFrame, items: Callable, judge: Callable, kind: str, buckets: int, column: str, width: int = 8) -> DataFrame:
+def cells(keys: np.ndarray, buckets: int, width: int, payload: Callable) -> tuple[np.ndarray, list[bytes]]:
+    """Buckets that hold any of the ascending ``keys``, and for each the pickled (places, payload of its slice)."""
+    b, place = _dealt(keys, buckets)
+    low = np.ascontiguousarray(place.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width])
+    at = _starts(b)
+    return b[at], [pickle.dumps((low[s:e].tobytes(), payload(slice(s, e))), protocol=5) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=False)]
+
+
+def _opened(x: bytes, width: int) -> tuple[np.ndarray, object]:
+    low, payload = pickle.loads(x)
+    raw = np.zeros((len(low) // width, 8), np.uint8)
+    raw[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+    return raw.view(">u8").ravel().astype(np.uint64), payload
+
+
+def round_trip(table: DataFrame, items: Callable, judge: Callable, kind, buckets: int, column: str, width: int = 8, given: DataFrame | None = None) -> DataFrame:
     """``table`` with ``column``: per pack a list of (bucket, answers).
 
     ``items(batch, i)`` gives (keys, payload) of the pack in row i: uint64 keys in ascending order and a function from
     slices to a picklable payload; ``width`` high bytes of a key's place travel, besides its bucket. ``judge`` gets a
-    list of (keys, payload) and returns a list of answers of numpy type ``kind``.
+    list of (keys, payload) and returns a list of answers of numpy type ``kind``. With ``given``, (b, x) rows as ``cells``
+    makes them, ``judge`` also gets those of the bucket, as a second list.
     """
     spark = table.sparkSession
     release(spark)  # of what made ``table``
-    names = table.columns
+    names, table_too = table.columns, given is not None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uid = batch.column("uid").to_pylist()
             for i in range(batch.num_rows):
                 keys, payload = items(batch, i)
-                b, place = _dealt(keys, buckets)
-                low = np.ascontiguousarray(place.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width])
-                at = _starts(b)
-                xs = [pickle.dumps((low[s:e].tobytes(), payload(slice(s, e))), protocol=5) for s, e in zip(at.tolist(), [*at[1:].tolist(), len(b)], strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array([uid[i]] * len(xs), pa.int64()), pa.array(b[at], pa.int32()), pa.array(xs, pa.binary())], names=["uid", "b", "x"])
+                bs, xs = cells(keys, buckets, width, payload)
+                yield pa.RecordBatch.from_arrays([pa.array([uid[i]] * len(xs), pa.int64()), pa.array(bs, pa.int32()), pa.array(xs, pa.binary())], names=["uid", "b", "x"])
         trim()
 
     def answers_of(b: int, members: list) -> pa.RecordBatch:
-        got = []
-        for _, x in members:
-            low, payload = pickle.loads(x)
-            raw = np.zeros((len(low) // width, 8), np.uint8)
-            raw[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
-            got.append((raw.view(">u8").ravel().astype(np.uint64), payload))
-        answers = judge(got)
+        known = [_opened(x, width) for u, x in members if u < 0]
+        members = [m for m in members if m[0] >= 0]
+        got = [_opened(x, width) for _, x in members]
+        answers = (judge(got, known) if table_too else judge(got)) if members else []
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([u for u, _ in members], pa.int64()),
@@ -159,7 +169,10 @@ def round_trip(table: DataFrame, items: Callable, judge: Callable, kind: str, bu
             yield answers_of(now, members)
         trim()
 
-    sent = table.mapInArrow(send, "uid long, b int, x binary").repartition(buckets, "b").sortWithinPartitions("b")
+    sent = table.mapInArrow(send, "uid long, b int, x binary")
+    if given is not None:
+        sent = sent.unionByName(given.select(F.lit(-1).cast("long").alias("uid"), "b", "x"))
+    sent = sent.repartition(buckets, "b").sortWithinPartitions("b")
     answers = checkpoint(sent.mapInArrow(receive, "uid long, b int, n int, r binary"))
     del sent
     answers = answers.groupBy("uid").agg(F.collect_list(F.struct("b", "n", "r")).alias(column))

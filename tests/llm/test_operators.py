@@ -229,6 +229,64 @@ def test_lm_base_and_probability(docs, rows, empty):
     assert all(math.isfinite(r["score"]) for r in lm_score.score_texts(docs, F.lit(False)).collect())
 
 
+def test_lm_score_from_first_principles(spark):
+    """Counts, expectation, marginals and the Dirichlet-multinomial again, segmentations being enumerated one by one."""
+    pieces = {b" ab": 0.2, b" a": 0.1, b"ba": 0.2, b"b": 0.1, b"a": 0.1, b"abab": 0.2, b" abc": 0.1}
+    name = lambda x: int(lm_score.spans_hash(lm_score.prefix_sums(lm_score.BYTE[np.frombuffer(x, np.uint8)], lm_score.P1), np.array([0]), np.array([len(x)]), lm_score.P1)[0])
+    single = [bytes([b]) for b in range(256)]
+    order = [*pieces, *single]
+    logs = np.log(np.r_[list(pieces.values()), np.full(256, 1e-9)])
+    logs -= np.log(np.exp(logs).sum())
+    hashes = np.array([name(x) for x in pieces] + [name(x) ^ 5 for x in single], np.uint64)
+
+    def ways(x: bytes):
+        if not x:
+            yield []
+        for k in range(1, len(x) + 1):
+            if x[:k] in pieces:
+                yield from ([order.index(x[:k])] + w for w in ways(x[k:]))
+            elif k == 1:
+                yield from ([len(pieces) + x[0]] + w for w in ways(x[1:]))
+
+    prob = lambda x, p: sum(math.prod(p[i] for i in w) for w in ways(x))
+    texts = ["abab abcab", "ABAB abab baba", None, "abcabc zzzz", "abab qqqq abcab abab", "neverseen abab"]
+    learnt = [0, 1, 2, 3]
+    split = [[*words((t or "").lower()), None] for t in texts]
+    c = Counter(x for i in learnt for x in split[i])
+    first = np.exp(logs)
+    counts = np.zeros(len(order))
+    for w in {x for x in c if x}:
+        whole = prob(b" " + w.encode(), first)
+        for way in ways(b" " + w.encode()):
+            np.add.at(counts, way, math.prod(first[i] for i in way) / whole)
+    prior = counts + 1e-3 * counts.sum() * first
+    trained = counts + 1e-2 * counts.sum() * prior / prior.sum()
+    trained /= trained.sum()
+    ends, types = len(learnt), {x: k for x, k in c.items() if x}
+    n, v = sum(c.values()), len(c)
+    once, twice = (sum(k == m for k in types.values()) for m in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    end_share = (ends + 1) / (n + 2)
+    back = lambda x: end_share if x is None else prob(b" " + x.encode(), trained) * (1 - end_share)
+    every = lambda x, less=0: max(c[x] - less - d, 0) / n + d * v / n * back(x)
+    p = lambda x, less=0: max(c[x] - less - d, 0) / n + d * v / n * every(x, less)
+
+    def score(w, a, less=False):
+        out = -sum(math.log(a + i) for i in range(len(w)))
+        for x, k in Counter(w).items():
+            q = a * p(x, k if less else 0)
+            out += sum(math.log(q + i) for i in range(k))
+        return out
+
+    best = max(lm_score.GRID, key=lambda a: sum(score(split[i], a, True) for i in learnt))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_score.score_texts(docs, F.col("doc_id") < 4, pieces=(hashes, logs)).collect()}
+    assert {r["concentration"] for r in got.values()} == {best}
+    for i, w in enumerate(split):
+        want = (score(w, best) + math.log((ends + 1) / (ends + lm_score.CLASSES))) / math.log(10)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-5), (i, got[i]["score"], want)
+
+
 def test_lattice_sums_all_segmentations():
     hashes, logs = lm_score.vocabulary_pieces()
     lattice = lm_score.Lattice(hashes, logs)
