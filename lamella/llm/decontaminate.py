@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, read, small
+from ._common import LOWER, UPPER, checkpoint, read, small
 
 #: ASCII that separates words: everything but digits and letters
 _DELIMITERS = "".join(map(chr, [*range(0x01, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -40,13 +40,14 @@ def contamination(
 
     A document word is hit if it lies in an occurrence of any item's window; ``items`` holds the sorted ids (as
     strings) of the items with occurring windows; ``contaminated`` is ``size(items) >= min_items``. Null and empty
-    texts have no words. Rows that share an id add up, hits of identical rows counting once. An empty ``items`` hits
-    nothing. Items with a null id are left out.
+    texts have no words. Rows that share an id add up, each with its own words and hits. An empty ``items`` hits
+    nothing. Items with a null id are left out. Other columns play no part.
 
     A window occurs only where its rarest word does, so each window's prefix is that one word, rarity being counted
-    over all documents. Document words meet the prefix words in one hash join while the text is being exploded;
-    positional bounds and the comparison of the whole window follow in the same pass, so only verified occurrences
-    are shuffled.
+    over all documents. Where the prefixes are few enough to broadcast, document words meet them while the text is being
+    exploded, and positional bounds and the comparison of the whole window follow in the same pass. Beyond that, words
+    travel without their texts as (text, position, word), and the places that pass the bounds go back to the texts once.
+    Either way only verified occurrences are counted.
     """
     words = docs.select(
         F.col(id_col).alias("_id"), benchmark_words(F.col(text_col)).alias("w"), F.xxhash64(text_col).alias("_text")
@@ -65,27 +66,52 @@ def contamination(
         .agg(rarest.alias("r"), F.first("win_items").alias("win_items"))
         .select("win", "win_items", F.col("r.t").alias("t"), F.col("r.o").alias("o"), F.size("win").alias("len"))
     )
-    prefixes = small(prefixes, BROADCAST_ROWS)
+    prefixes = checkpoint(prefixes)
     at = F.col("p") - F.col("o")
-    found = (
-        words.select("_id", "_text", "w", F.posexplode("w").alias("p", "t"))
-        .join(prefixes, "t")
-        .filter((at >= 0) & (at + F.col("len") <= F.size("w")))
-        .filter(F.slice("w", at + 1, F.col("len")) == F.col("win"))
-        .select("_id", "_text", at.alias("s"), "len", "win_items")
-    )
+    inside = (at >= 0) & (at + F.col("len") <= F.col("n"))
+    same = F.slice("w", F.col("s") + 1, F.col("len")) == F.col("win")
+    if prefixes.count() <= BROADCAST_ROWS:
+        found = (
+            words.select("_id", "_text", "w", F.size("w").alias("n"), F.posexplode("w").alias("p", "t"))
+            .join(F.broadcast(prefixes), "t")
+            .filter(inside)
+            .withColumn("s", at)
+            .filter(same)
+            .select("_id", "_text", "s", "len", "win_items")
+        )
+    else:
+        numbered = prefixes.withColumn("k", F.xxhash64("win"))
+        places = (
+            words.select("_id", "_text", F.size("w").alias("n"), F.posexplode("w").alias("p", "t"))
+            .join(numbered.select("t", "o", "len", "k"), "t")
+            .filter(inside)
+            .groupBy("_id", "_text")
+            .agg(F.collect_set(F.struct(at.alias("s"), "k")).alias("at"))
+            .select(F.col("_id").alias("i"), F.col("_text").alias("x"), "at")
+        )
+        found = (
+            words.join(places, F.col("_id").eqNullSafe(F.col("i")) & F.col("_text").eqNullSafe(F.col("x")))
+            .select("_id", "_text", "w", F.explode("at").alias("a"))
+            .select("_id", "_text", "a.s", "a.k", F.slice("w", F.col("a.s") + 1, width).alias("w"))
+            .join(numbered.select("k", "win", "len", "win_items"), "k")
+            .filter(F.slice("w", F.lit(1), F.col("len")) == F.col("win"))
+            .select("_id", "_text", "s", "len", "win_items")
+        )
     hits = (
         found.groupBy("_id", "_text")
         .agg(
             F.collect_set(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("spans"),
             F.collect_set("win_items").alias("its"),
         )
-        .select("_id", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("hit"), F.flatten("its").alias("its"))
+        .select("_id", "_text", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("hit"), F.array_distinct(F.flatten("its")).alias("its"))
     )
-    sizes = words.select("_id", F.size("w").cast("long").alias("n"), F.lit(0).cast("long").alias("hit"), F.array().cast("array<string>").alias("its"))
+    none = F.array().cast("array<string>")
+    sizes = words.select("_id", "_text", F.size("w").cast("long").alias("n"), F.lit(1).cast("long").alias("rows"), F.lit(0).cast("long").alias("hit"), none.alias("its"))
+    zero = F.lit(0).cast("long")
+    texts = sizes.unionByName(hits.withColumns({"n": zero, "rows": zero})).repartition("_id")
+    texts = texts.groupBy("_id", "_text").agg(F.sum("n").alias("n"), (F.sum("rows") * F.max("hit")).alias("hit"), F.max("its").alias("its"))
     return (
-        sizes.unionByName(hits.withColumn("n", F.lit(0).cast("long")))
-        .groupBy("_id")
+        texts.groupBy("_id")
         .agg(
             F.sum("n").alias("n_words"),
             F.sum("hit").alias("n_hit"),
@@ -98,12 +124,16 @@ def contamination(
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with their columns.
 
-    Each row is judged by its own text, whatever its id: null and repeated ids do not make several rows one document.
+    Each row is judged by its own text, whatever its id: null and repeated ids do not make several rows one document, and
+    equal texts have one fate. Null and empty texts stay. Columns may have any names.
     """
     key = F.md5(F.col(text_col))
     texts = docs.filter(F.col(text_col) != "").select(key.alias("_key"), F.col(text_col))
-    bad = contamination(texts, items, "_key", text_col, **kw).filter("contaminated").select(F.col("_key").alias("_bad"))
-    return docs.join(bad, key == F.col("_bad"), "left_anti")
+    bad = contamination(texts, items, "_key", text_col, **kw).filter("contaminated")
+    name = "_bad"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(bad.select(F.col("_key").alias(name)), key == F.col(name), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,8 @@ from lamella.session import ship
 
 from ._common import checkpoint, partitions_for, read
 
-#: pivots; summaries and pivots have this many rows
-PIVOTS = 64
+#: rows per pivot, and the least and most pivots; summaries and pivots have this many rows
+PER_PIVOT, LEAST, MOST = 4096, 64, 4096
 #: vectors of a group that one task holds
 BLOCK = 16_384
 
@@ -39,15 +39,17 @@ def top_k(
     vec_col: str = "embedding",
     k: int = 5,
     scale: float = 256.0,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
 ) -> DataFrame:
     """(query_id, rank, id, score): each query row's ``k`` largest inner products with rows of other ids.
 
     Components become floor(scale * x). Rows with a null id, a null vector, or a null or non-finite component take no
     part; shorter vectors are padded with zeros. Ties go to the smaller id; a query with fewer than ``k`` candidates
-    gets all. Repeated rows are candidates each; a repeated query row (same id and vector) is answered once.
+    gets all. Repeated rows are candidates each; a repeated query row (same id and vector) is answered once. Empty vectors
+    take part with products of 0. Scores are exact: components so large that a product might leave 64 bits raise
+    ValueError. Other columns play no part; an empty table gives an empty table.
 
-    Voronoi cells around ``pivots`` rows chosen by hash; per cell its size, radius R and (k+1)-th smallest distance r
+    Voronoi cells around ``pivots`` rows chosen by hash (by default one for PER_PIVOT rows); per cell its size, radius R and (k+1)-th smallest distance r
     of distinct ids (the nearest row of each) bound every product: q.p - |q| r holds for rows of k other ids, as solving
     drops all rows of the query's own, and none exceeds q.p + |q| R. A query goes to cells
     whose upper bound reaches its best lower bound, and no other. Cells larger than ``BLOCK`` are cut into blocks by a
@@ -60,10 +62,14 @@ def top_k(
     rows = (
         data.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
         .filter(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, bad))
-        .select("id", "q", F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
     )
-    stat = rows.agg(F.max(F.size("v")).alias("dim")).collect()[0]
+    largest = F.array_max(F.transform(v, lambda x: F.abs(x * scale) + 1))
+    stat = rows.agg(F.max(F.size("v")).alias("dim"), F.max(largest).alias("most"), F.count(F.lit(1)).alias("n")).collect()[0]
     dim = stat["dim"] or 0
+    if (stat["most"] or 0.0) ** 2 * dim >= 2.0**62:
+        raise ValueError("components too large for exact 64-bit products")
+    rows = rows.select("id", "q", F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    pivots = pivots or min(max(LEAST, -(-stat["n"] // PER_PIVOT)), MOST)
     id_type = data.schema[id_col].dataType.simpleString()
     out_type = f"query_id {id_type}, qh long, {id_col} {id_type}, score long"
     chosen = rows.select("v").orderBy(F.xxhash64(F.lit(3), "v"), "v").limit(pivots * 4).distinct().limit(pivots).collect()
@@ -135,8 +141,8 @@ def top_k(
                     names=["id", "q", "g", "s", "x"],
                 )
 
-    cut = F.create_map(*[F.lit(int(x)) for pair in zip(names, blocks, strict=True) for x in pair])
-    stored = cells.select("id", F.lit(False).alias("q"), "g", F.pmod(F.xxhash64(F.lit(9), "id"), cut[F.col("g")]).alias("s"), "x")
+    cut = F.broadcast(spark.createDataFrame([(int(g), int(n)) for g, n in zip(names, blocks, strict=True)], "g long, n long"))  # MOST rows at most
+    stored = cells.join(cut, "g").select("id", F.lit(False).alias("q"), "g", F.pmod(F.xxhash64(F.lit(9), "id"), F.col("n")).alias("s"), "x")
     asked = cells.filter("q").dropDuplicates(["id", "x"]).select("id", "q", "g", "x").mapInArrow(send, f"id {id_type}, q boolean, g long, s long, x binary")
     tasks = partitions_for(spark)
     work = stored.unionByName(asked).repartition(tasks, "g", "s").sortWithinPartitions("g", "s", "q")

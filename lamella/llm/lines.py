@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WS, ascii_lower, read
+from ._common import WS, ascii_lower, checkpoint, read
 
 
 def _key(line: Column) -> Column:
@@ -24,14 +24,16 @@ def dedup_lines(
 
     A line's key is the line stripped of white space and lower-cased (A-Z). Keys of ``min_chars`` code points or
     more that ``min_docs`` documents hold lose all their lines but those of the largest id. A null or empty text is
-    one empty line. Every row is a document: rows that share an id count each, and all rows of the largest id keep
-    the line; a null id is below every other.
+    one empty line. Documents are told apart by id: rows that share one count once, and all rows of the largest id keep
+    the line; a null id is a document below every other. Other columns stay, whatever their names, but for ``n_lines`` and
+    ``n_dropped``, which are replaced. An empty table gives an empty table.
 
-    Plan: distinct line hashes leave each row once, counts combine map-side per hash, frequent hashes join back to
-    (id, hash) rows (equi-join that AQE can split where a line is hot), and texts move once, by id.
+    Plan: distinct line hashes leave each row once, counts combine map-side per hash, and hashes that enough rows hold join
+    back to (id, hash) rows (an equi-join that AQE splits where a line is hot). Only these are told apart by id; texts move
+    once, by id.
     """
     lines = F.split(F.coalesce(F.col("_text"), F.lit("")), "\n")
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    rest = [c for c in docs.columns if c not in (id_col, text_col, "n_lines", "n_dropped")]
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_end")).alias("_rest")
     )
@@ -39,14 +41,12 @@ def dedup_lines(
     held = rows.select(
         "_id", F.explode(F.array_distinct(F.transform(long_keys, _hashed))).alias("h")
     ).select("_id", "h.h1", "h.h2")
-    frequent = (
-        held.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("_id").alias("keep"))
-        .filter(F.col("n") >= min_docs)
-        .select("h1", "h2", "keep")
-    )
+    often = held.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2")
+    shared = checkpoint(held.join(often, ["h1", "h2"]))
+    one = shared.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
+    frequent = one.groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("_id").alias("keep")).filter(F.col("n") >= min_docs)
     drops = (
-        held.join(frequent, ["h1", "h2"])
+        shared.join(frequent.select("h1", "h2", "keep"), ["h1", "h2"])
         .filter(~F.col("_id").eqNullSafe(F.col("keep")))
         .groupBy("_id")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
@@ -61,6 +61,7 @@ def dedup_lines(
             *[
                 F.col("_id").alias(c) if c == id_col else F.array_join("_kept", "\n").alias(c) if c == text_col else F.col("_rest").getField(c).alias(c)
                 for c in docs.columns
+                if c not in ("n_lines", "n_dropped")
             ],
             F.size(lines).cast("long").alias("n_lines"),
             (F.size(lines) - F.size("_kept")).cast("long").alias("n_dropped"),

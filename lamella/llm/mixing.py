@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from ._common import checkpoint, read
 
 WORDS = r"[^ \t\n\x0B\f\r]+"
-#: membership patterns the driver plans for; they count combinations of sources, not documents
-MAX_PATTERNS = 100_000
+#: membership patterns the driver plans for one by one; they count combinations of sources, not documents
+MAX_PATTERNS = 20_000
 
 
 def share_targets(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
@@ -34,7 +34,11 @@ def share_targets(sizes: list[float], weights: list[float], total: float, cap: f
 
 
 def min_cost_flow(arcs: list[tuple[int, int, float, float]], n: int, source: int, sink: int) -> list[float]:
-    """Flow on each arc (tail, head, capacity, cost) of a maximum flow of least cost, by cheapest augmenting paths."""
+    """Flow on each arc (tail, head, capacity, cost) of a maximum flow of least cost.
+
+    Primal-dual: distances by cost from the source, then blocking flows along arcs on shortest paths, until none is left.
+    The phases are as many as different path costs, not as many as paths.
+    """
     to, cap, cost, out = [], [], [], [[] for _ in range(n)]
     for a, b, c, w in arcs:
         for x, y, z, v in ((a, b, c, w), (b, a, 0.0, -w)):
@@ -42,26 +46,51 @@ def min_cost_flow(arcs: list[tuple[int, int, float, float]], n: int, source: int
             to.append(y), cap.append(z), cost.append(v)
     eps = 1e-9 * max([1.0, *(c for _, _, c, _ in arcs)])
     while True:
-        dist, via, queue, queued = [float("inf")] * n, [-1] * n, [source], {source}
+        dist, queue, queued = [float("inf")] * n, [source], {source}
         dist[source] = 0.0
         for x in queue:
             queued.discard(x)
             for e in out[x]:
                 if cap[e] > eps and dist[x] + cost[e] < dist[to[e]] - 1e-12:
-                    dist[to[e]], via[to[e]] = dist[x] + cost[e], e
+                    dist[to[e]] = dist[x] + cost[e]
                     if to[e] not in queued:
                         queued.add(to[e])
                         queue.append(to[e])
-        if via[sink] < 0:
+        if dist[sink] == float("inf"):
             return [arcs[i][2] - cap[2 * i] for i in range(len(arcs))]
-        path, x = [], sink
-        while x != source:
-            path.append(via[x])
-            x = to[via[x] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+        tight = lambda x, e: cap[e] > eps and abs(dist[x] + cost[e] - dist[to[e]]) <= 1e-12  # noqa: B023, E731
+        while True:  # blocking flows on the shortest arcs, level by level
+            level, queue = [-1] * n, [source]
+            level[source] = 0
+            for x in queue:
+                for e in out[x]:
+                    if level[to[e]] < 0 and tight(x, e):
+                        level[to[e]] = level[x] + 1
+                        queue.append(to[e])
+            if level[sink] < 0:
+                break
+            at, path, x = [0] * n, [], source
+            while True:
+                if x == sink:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    path, x = [], source
+                    continue
+                while at[x] < len(out[x]):
+                    e = out[x][at[x]]
+                    if level[to[e]] == level[x] + 1 and tight(x, e):
+                        break
+                    at[x] += 1
+                if at[x] < len(out[x]):
+                    path.append(out[x][at[x]])
+                    x = to[path[-1]]
+                elif x == source:
+                    break
+                else:
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
 
 
 @dataclass
@@ -155,25 +184,33 @@ def mix_sources(
     then those of the first in order). ``taken`` is the words of the row's text times its copies, 0 to ``repeats``.
     A null source is a source of its own, placed last; an empty array belongs to none and takes nothing. Null and
     empty texts have size 0. Copies are chosen by a hash of ``seed`` and the id, so reruns agree; rows that share an
-    id get equal copies. Whole documents are taken: a source's words miss its target by at most half a document.
+    id get equal copies. Whole documents are taken: a source's words miss its target by at most half a document. Other
+    columns stay, whatever their names, but for the four new ones, which are replaced. An empty table gives an empty table.
 
-    Only one row per membership pattern reaches the driver. Texts never move: the plan comes down to a hash
-    threshold per pattern, which is joined back by broadcast (at most MAX_PATTERNS rows, checked).
+    Only one row per membership pattern reaches the driver. Of more than MAX_PATTERNS patterns, the largest are planned as
+    they are and documents of the others count for their first source alone: all keep their place in the mix. Texts never
+    move: the plan comes down to a hash threshold per pattern, which is joined back by broadcast.
     """
     kind = docs.schema[sources_col].dataType
     member = F.col(sources_col)
     pattern = F.array_sort(F.array_distinct(member)) if isinstance(kind, T.ArrayType) else F.array(member.cast("string"))
-    inside = docs.withColumns(
-        {
-            "_pattern": F.to_json(F.struct(F.coalesce(pattern, F.array(F.lit(None).cast("string"))).alias("p"))),
-            "_size": F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long"),
-            "_h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1),
-        }
+    json_of = lambda p: F.to_json(F.struct(p.alias("p")))
+    whole = F.coalesce(pattern, F.array(F.lit(None).cast("string")))
+    inside = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0).alias("_end")).alias("row"),
+        json_of(whole).alias("pattern"),
+        json_of(F.slice(whole, 1, 1)).alias("first"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("size"),
+        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 1).alias("h"),
     )
-    sized = checkpoint(inside.select(F.col("_pattern").alias("pattern"), F.col("_size").alias("size"), F.col("_h").alias("h")))
-    found = sized.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources")
+    sized = checkpoint(inside.select("pattern", "first", "size", "h"))
+    found = sized.groupBy("pattern", "first").agg(F.sum("size").alias("size"))
+    largest = found.orderBy(F.desc("size"), "pattern").limit(MAX_PATTERNS + 1).collect()
+    if len(largest) > MAX_PATTERNS:
+        least = largest[-1]["size"]
+        fold = lambda df: df.join(found.filter(F.col("size") <= least).select("pattern", F.lit(True).alias("fold")), "pattern", "left").withColumn("pattern", F.when(F.col("fold"), F.col("first")).otherwise(F.col("pattern"))).drop("fold")
+        inside, sized = fold(inside), checkpoint(fold(sized))
+    found = sized.groupBy("pattern").agg(F.sum("size").alias("size")).collect()  # MAX_PATTERNS rows, and one a source
     keys = {r["pattern"]: tuple(json.loads(r["pattern"]).get("p", [])) for r in found}
     plan = plan_mix({keys[r["pattern"]]: r["size"] for r in found}, weights, share, repeats)
     rows = []
@@ -186,15 +223,11 @@ def mix_sources(
     spark = docs.sparkSession
     quota = spark.createDataFrame(rows, "pattern string, base int, rest double, source_size long, target double")
     cuts = checkpoint(_cut(sized, quota.filter("rest > 0").select("pattern", "rest")))
-    final = quota.join(cuts, "pattern", "left").select(
-        F.col("pattern").alias("_pattern"), "base", F.coalesce("cut", F.lit(0)).alias("cut"), F.col("source_size").alias("_ss"), F.col("target").alias("_tg")
-    )
-    return inside.join(F.broadcast(final), "_pattern").select(
-        *[F.col(c) for c in docs.columns if c not in ("size", "source_size", "target", "taken")],
-        F.col("_size").alias("size"),
-        F.col("_ss").alias("source_size"),
-        F.col("_tg").alias("target"),
-        (F.col("_size") * (F.col("base") + (F.col("_h") < F.col("cut")).cast("int"))).alias("taken"),
+    final = quota.join(cuts, "pattern", "left").select("pattern", "base", F.coalesce("cut", F.lit(0)).alias("cut"), "source_size", "target")
+    new = ("size", "source_size", "target", "taken")
+    taken = F.col("size") * (F.col("base") + (F.col("h") < F.col("cut")).cast("int"))
+    return inside.join(F.broadcast(final), "pattern").select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], "size", "source_size", "target", taken.alias("taken")
     )
 
 

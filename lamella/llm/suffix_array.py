@@ -110,7 +110,7 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
     """(gram hash, position, first window, last window + 1): windows by their leftmost smallest gram; and the prefix sums."""
     n, slide = len(data), width - GRAM + 1
     if n < width:
-        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(1, np.uint64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(1, np.uint64)
     sums = prefix_sums(BYTE[data], P1)
     h = mix((sums[GRAM:] - sums[:-GRAM]) * powers(P1, n + 1)[1][: n - GRAM + 1])
     bits = np.uint64(max(24, int(n).bit_length()))
