@@ -126,7 +126,7 @@ def anchors(data: np.ndarray, off: np.ndarray, width: int):
     mine = inside[cut[:-1]]
     first, last = cut[:-1][mine], cut[1:][mine]
     pos = (m[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return h[pos], pos, first, last, sums
+    return mix(h[pos]), pos, first, last, sums  # the smallest of many hashes are no even keys
 
 
 def _gram_hashes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def _gram_hashes(data: np.ndarray, pos: np.ndarray) -> np.ndarray:
     total = np.zeros(len(pos), np.uint64)
     for j in range(GRAM):
         total += BYTE[data[pos + j]] * powers(P1, GRAM)[0][j]
-    return mix(total)
+    return mix(mix(total))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -260,7 +260,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sums = prefix_sums(BYTE[data], P1)
         one, two = hashes(sums, data, pos, first, last)
         two = (two >> np.uint64(32)).astype(np.uint32)
-        return spans_hash(sums, pos, pos + GRAM, P1), lambda s: (one[s], two[s], _narrow(ids[s]))
+        return mix(spans_hash(sums, pos, pos + GRAM, P1)), lambda s: (one[s], two[s], _narrow(ids[s]))
 
     def judged(batch, i):
         """What ``found`` returns and the verdict on each span."""
