@@ -114,6 +114,21 @@ def ramp(image: np.ndarray, attenuation: float = 1.0, cut: float = 0.5) -> np.nd
     return np.fft.ifft(np.fft.fft(image, axis=1) * np.where(f <= cut, f, 0) * attenuation, axis=1).real
 
 
+def attenuations(angles: np.ndarray) -> np.ndarray:
+    """Weight of each view: the increments beside it (2 for the nearest on a side, 1/1.5 for the next), averaged, over the mean one."""
+    order = np.argsort(-angles, kind="stable")
+    gaps = -np.diff(angles[order])
+    out = np.ones(len(angles))
+    if len(gaps) and gaps.sum():
+        near, share = np.zeros(len(angles)), np.zeros(len(angles))
+        for k, c in ((0, 2.0), (1, 1 / 1.5)):
+            for at, g in ((slice(1 + k, None), gaps[: len(gaps) - k]), (slice(0, len(gaps) - k), gaps[k:])):
+                near[at] += c * g
+                share[at] += c
+        out[order] = near / share / gaps.mean()
+    return out
+
+
 def back_project(tilts: DataFrame, shape: tuple[int, int, int], slab: int = 16) -> DataFrame:
     """(z, data): mean over tilts of filtered images gathered bilinearly, for Z sections of (nz, ny, nx).
 

@@ -33,7 +33,22 @@ def read_header(raw: bytes) -> Header:
 
 def read_mrc(path: str) -> tuple[np.ndarray, Header]:
     with open(path, "rb") as f:
-        raw = f.read()
+        return parse(f.read())
+
+
+def header_of(spark: SparkSession, path: str) -> Header:
+    """The header of a volume on any store Spark reads."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        return read_header(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, 1024)))
+    finally:
+        stream.close()
+
+
+def parse(raw: bytes) -> tuple[np.ndarray, Header]:
+    """(array, header) of a file's bytes."""
     h = read_header(raw)
     return np.frombuffer(raw, MODES[h.mode], int(np.prod(h.shape)), h.start).reshape(h.shape), h
 
