@@ -17,8 +17,8 @@ def norm(x: Column, y: Column, z: Column) -> Column:
 
 
 def dipole_euler(dx: Column, dy: Column, dz: Column, theta: Column | None = None) -> tuple[Column, Column, Column]:
-    """(rot, tilt, psi) of the axis through two picks; null where it is parallel to z. ``theta``: in-plane angle in radians."""
-    n = norm(dx, dy, dz)
+    """(rot, tilt, psi) of the axis through two picks; null where it is parallel to z or the picks are one point. ``theta``: in-plane angle in radians."""
+    n = F.nullif(norm(dx, dy, dz), F.lit(0.0))
     ok = F.sqrt(dx * dx + dy * dy) / n >= 1e-8
     rot = F.lit(0.0)
     if theta is not None:

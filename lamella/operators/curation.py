@@ -55,6 +55,30 @@ class Curation:
         inside = voxels.islands(self.labelled).filter(F.col("zc").between(low, high))
         return replace(self, chosen=self.chosen.join(inside, ["vol", "label"], "left_semi"))
 
+    def crop(self, low: int, high: int) -> Curation:
+        """The mask's Z range alone, labelled anew, everything selected."""
+        return replace(Curation.start(self.mask, self.dims, self.connectivity, low, high), mask=self.mask)
+
+    def peaks(self, values: DataFrame, least: float) -> Curation:
+        """Deselect islands whose largest value (vol, z, y, x, v) is below ``least``; islands without values have a peak of 0."""
+        high = voxels.islands(self.labelled.join(values, voxels.KEY, "left"), "v").filter(F.col("peak") >= least)
+        return replace(self, chosen=self.chosen.join(high, ["vol", "label"], "left_semi"))
+
+    def renumber(self) -> Curation:
+        """The chosen islands alone, numbered 1.. in order, all selected."""
+        kept = self.result()
+        return replace(self, labelled=kept, chosen=kept.select("vol", "label").distinct())
+
+    @classmethod
+    def of_particles(cls, particles: DataFrame, dims: tuple[int, int, int], radius: float) -> Curation:
+        """Spheres around particles (vol, label, cz, cy, cx) as islands of their own labels."""
+        painted = voxels.paint_spheres(particles, dims, radius)
+        return cls(painted.select(*voxels.KEY), painted, particles.select("vol", "label").distinct(), dims)
+
+    def repaint(self, particles: DataFrame, radius: float) -> Curation:
+        """Particles painted with another radius; the selection stays."""
+        return replace(Curation.of_particles(particles, self.dims, radius), chosen=self.chosen)
+
     def dilate(self, radius: float) -> Curation:
         """Grow all islands, label anew and select everything."""
         return Curation.start(voxels.dilate_ball(self.labelled, self.dims, radius), self.dims, self.connectivity)

@@ -418,6 +418,19 @@ def flips(left: DataFrame, right: DataFrame, shape: tuple[int, int, int], top: f
     return out.select("flip", "sign", "n", (F.col("sign") * F.col("r")).alias("r")).orderBy(F.desc("r"), F.length("flip"), "flip", F.desc("sign"))
 
 
+def flipped(sections: DataFrame, shape: tuple[int, int, int], flip: str, sign: int) -> DataFrame:
+    """Sections (z, data) with axes of ``flip`` reversed, times ``sign``."""
+    ship(sections.sparkSession)
+    step = {c: -1 if c in flip else 1 for c in "yx"}
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            turned = [(sign * np.frombuffer(b, np.float32).reshape(shape[1:])[:: step["y"], :: step["x"]]).astype(np.float32).tobytes() for b in pdf["data"]]
+            yield pd.DataFrame({"z": shape[0] - 1 - pdf["z"] if "z" in flip else pdf["z"], "data": turned})
+
+    return sections.mapInPandas(work, "z int, data binary")
+
+
 def tukey(n: int, alpha: float = 0.25) -> np.ndarray:
     """Taper: cosine flanks over ``alpha`` of the length."""
     x = np.linspace(0, 1, n) if n > 1 else np.full(1, 0.5)

@@ -1,27 +1,9 @@
-"""Reconstruction from tilt images and comparison of volumes: numpy kernels inside tilt- and slab-wise Spark plans."""
+"""Pieces that the engines share: masks, weights of views, volumes from sections."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import product
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lamella.session import ship
-
-
-def fourier_resize(image: np.ndarray, size: int) -> np.ndarray:
-    """Square image cropped or padded in Fourier space, means kept."""
-    n = image.shape[0]
-    f = np.fft.fftshift(np.fft.fft2(image))
-    out = np.zeros((size, size), complex)
-    k = min(n, size)
-    a, b = n // 2 - k // 2, size // 2 - k // 2
-    out[b : b + k, b : b + k] = f[a : a + k, a : a + k]
-    return np.fft.ifft2(np.fft.ifftshift(out)).real * (size / n) ** 2
+from pyspark.sql import DataFrame
 
 
 def border_mask(shape: tuple[int, int], border: int = 32, edge: int = 16) -> np.ndarray:
@@ -33,87 +15,6 @@ def border_mask(shape: tuple[int, int], border: int = 32, edge: int = 16) -> np.
     return one(shape[0])[:, None] * one(shape[1])[None]
 
 
-def prepare(image: np.ndarray, border: int = 8, edge: int = 4, highpass: float = 0.0, invert: bool = False, normalise: bool = True) -> np.ndarray:
-    """Mean off, border masked, low frequencies (cycles per pixel) damped, unit deviation."""
-    out = (image - image.mean()) * border_mask(image.shape, border, edge)
-    if highpass > 0:
-        f = np.hypot(*np.meshgrid(np.fft.fftfreq(image.shape[0]), np.fft.fftfreq(image.shape[1]), indexing="ij"))
-        out = np.fft.ifft2(np.fft.fft2(out) * (1 - np.exp(-((f / highpass) ** 2)))).real
-    if normalise and out.std() > 0:
-        out = out / out.std()
-    return -out if invert else out
-
-
-def rotation(angle: float, axis_angle: float = 0.0) -> np.ndarray:
-    """Specimen to image: turn about y by the tilt, then in plane by the tilt axis."""
-    t, a = np.radians(angle), np.radians(axis_angle)
-    ry = np.array([[np.cos(t), 0, np.sin(t)], [0, 1, 0], [-np.sin(t), 0, np.cos(t)]])
-    rz = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
-    return rz @ ry
-
-
-def project(volume: np.ndarray, angle: float, axis_angle: float = 0.0) -> np.ndarray:
-    """Projection of a cubic volume (z, y, x) onto an image of its side, by bilinear splatting."""
-    n = volume.shape[0]
-    c = np.stack(np.meshgrid(*[np.arange(n) - n // 2] * 3, indexing="ij"), -1).reshape(-1, 3)[:, ::-1]
-    xy = c @ rotation(angle, axis_angle).T[:, :2] + n // 2
-    lo = np.floor(xy).astype(int)
-    out = np.zeros(n * n)
-    for dx, dy in product((0, 1), repeat=2):
-        w = (1 - np.abs(xy[:, 0] - lo[:, 0] - dx)) * (1 - np.abs(xy[:, 1] - lo[:, 1] - dy)) * volume.ravel()
-        x, y = lo[:, 0] + dx, lo[:, 1] + dy
-        on = (x >= 0) & (y >= 0) & (x < n) & (y < n)
-        out += np.bincount(y[on] * n + x[on], weights=w[on], minlength=n * n)
-    return out.reshape(n, n)
-
-
-def insert_slices(tilts: DataFrame, n: int) -> DataFrame:
-    """(i, re, im, w): central slices of (angle, axis, image BINARY float32 n x n, scale) summed into a Fourier volume.
-
-    Each task folds its tilts into partial sums first; the shuffle adds them per voxel.
-    """
-    ship(tilts.sparkSession)
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, weight = np.zeros(n**3, complex), np.zeros(n**3)
-        f = np.arange(n) - n // 2
-        grid = np.stack(np.meshgrid(f, f, indexing="ij"), -1).reshape(-1, 2)[:, ::-1]
-        for pdf in parts:
-            for r in pdf.itertuples():
-                image = np.frombuffer(r.image, np.float32).reshape(n, n)
-                ft = np.fft.fftshift(np.fft.fft2(np.fft.ifftshift(image))).ravel() * r.scale
-                at = grid @ rotation(r.angle, r.axis)[:2] + n // 2  # x, y, z
-                lo = np.floor(at).astype(int)
-                for d in product((0, 1), repeat=3):
-                    q = lo + d
-                    w = np.prod(1 - np.abs(at - q), axis=1)
-                    on = ((q >= 0) & (q < n)).all(1) & (w > 0)
-                    i = (q[on, 2] * n + q[on, 1]) * n + q[on, 0]
-                    data += np.bincount(i, weights=(ft[on] * w[on]).real, minlength=n**3) + 1j * np.bincount(i, weights=(ft[on] * w[on]).imag, minlength=n**3)
-                    weight += np.bincount(i, weights=w[on] * r.scale, minlength=n**3)
-        i = np.flatnonzero(weight)
-        yield pd.DataFrame({"i": i, "re": data[i].real, "im": data[i].imag, "w": weight[i]})
-
-    parts = tilts.select("angle", "axis", "image", "scale").mapInPandas(fold, "i long, re double, im double, w double")
-    return parts.groupBy("i").agg(*[F.sum(c).alias(c) for c in ("re", "im", "w")])
-
-
-def combine(inserted: DataFrame, n: int, floor: float = 0.1) -> np.ndarray:
-    """The volume (z, y, x): sums over weights, inverse transform, gridding corrected. n**3 cells reach the driver."""
-    pdf = inserted.withColumns({c: F.col(c) / F.greatest("w", F.lit(floor)) for c in ("re", "im")}).select("i", "re", "im").toPandas()
-    f = np.zeros(n**3, complex)
-    f[pdf["i"]] = pdf["re"] + 1j * pdf["im"]
-    out = np.fft.fftshift(np.fft.ifftn(np.fft.ifftshift(f.reshape(n, n, n)))).real
-    s = np.sinc((np.arange(n) - n // 2) / n) ** 2
-    return out / np.maximum(s[:, None, None] * s[None, :, None] * s[None, None], 0.1)
-
-
-def ramp(image: np.ndarray, attenuation: float = 1.0, cut: float = 0.5) -> np.ndarray:
-    """Radial ramp along x up to ``cut`` cycles per pixel, times a tilt's attenuation."""
-    f = np.abs(np.fft.fftfreq(image.shape[1]))
-    return np.fft.ifft(np.fft.fft(image, axis=1) * np.where(f <= cut, f, 0) * attenuation, axis=1).real
-
-
 def attenuations(angles: np.ndarray) -> np.ndarray:
     """Weight of each view: the increments beside it (2 for the nearest on a side, 1/1.5 for the next), averaged, over the mean one."""
     order = np.argsort(-angles, kind="stable")
@@ -129,73 +30,8 @@ def attenuations(angles: np.ndarray) -> np.ndarray:
     return out
 
 
-def back_project(tilts: DataFrame, shape: tuple[int, int, int], slab: int = 16) -> DataFrame:
-    """(z, data): mean over tilts of filtered images gathered bilinearly, for Z sections of (nz, ny, nx).
-
-    Every (slab, tilt) pair is independent; a slab's partial sums meet in one group of a bounded size.
-    """
-    ship(tilts.sparkSession)
-    nz, ny, nx = shape
-    slabs = F.explode(F.array(*[F.lit(z) for z in range(0, nz, slab)])).alias("z0")
-
-    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.meshgrid(np.arange(ny) - ny // 2, np.arange(nx) - nx // 2, indexing="ij")
-        for pdf in parts:
-            out = []
-            for r in pdf.itertuples():
-                h, w = r.height, r.width
-                image = ramp(np.frombuffer(r.image, np.float32).reshape(h, w), r.attenuation)
-                m = rotation(r.angle, r.axis)
-                for z in range(r.z0, min(r.z0 + slab, nz)):
-                    u, v = (m[k, 0] * x + m[k, 1] * y + m[k, 2] * (z - nz // 2) for k in (0, 1))
-                    u, v = u + w // 2, v + h // 2
-                    a, b = np.floor(u).astype(int), np.floor(v).astype(int)
-                    on = (a >= 0) & (b >= 0) & (a < w - 1) & (b < h - 1)
-                    a, b = np.where(on, a, 0), np.where(on, b, 0)
-                    fu, fv = u - a, v - b
-                    g = (image[b, a] * (1 - fu) + image[b, a + 1] * fu) * (1 - fv) + (image[b + 1, a] * (1 - fu) + image[b + 1, a + 1] * fu) * fv
-                    out.append((z, np.where(on, g, 0).astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["z", "part"])
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.mean([np.frombuffer(b, np.float32) for b in pdf["part"]], axis=0)
-        return pd.DataFrame({"z": [int(pdf["z"].iloc[0])], "data": [s.astype(np.float32).tobytes()]})
-
-    work = tilts.select("angle", "axis", "image", "height", "width", "attenuation", slabs)
-    return work.mapInPandas(gather, "z int, part binary").groupBy("z").applyInPandas(total, "z int, data binary")
-
-
 def volume_of(sections: DataFrame, shape: tuple[int, int, int]) -> np.ndarray:
     out = np.zeros(shape, np.float32)
     for r in sections.toLocalIterator():
         out[r["z"]] = np.frombuffer(r["data"], np.float32).reshape(shape[1:])
     return out
-
-
-def shells(shape: tuple[int, ...]) -> tuple[np.ndarray, int]:
-    """Shell of every Fourier voxel (unshifted) and their number, half the longest side."""
-    bins = max(shape) // 2
-    r = np.sqrt(sum(g**2 for g in np.meshgrid(*[np.fft.fftfreq(n) for n in shape], indexing="ij")))
-    return np.minimum((r / (0.5 / bins)).astype(int), bins - 1), bins
-
-
-def fourier_table(spark: SparkSession, a: np.ndarray, b: np.ndarray) -> DataFrame:
-    """(shell, a, b, c, d): Fourier voxels of two volumes, for shell correlation and radial power."""
-    s, _ = shells(a.shape)
-    fa, fb = np.fft.fftn(a).ravel(), np.fft.fftn(b).ravel()
-    return spark.createDataFrame(pd.DataFrame({"shell": s.ravel().astype(np.int32), "a": fa.real, "b": fa.imag, "c": fb.real, "d": fb.imag}))
-
-
-def orientations(a: np.ndarray, b: np.ndarray) -> list[tuple[str, int, float]]:
-    """(flipped axes, sign, correlation) of the eight flips and two signs of ``b`` against ``a``, identity first."""
-    out = []
-    for flips in sorted(product((0, 1), repeat=3)):
-        axes = tuple(i for i in range(3) if flips[i])
-        r = float(np.corrcoef(a.ravel(), np.flip(b, axes).ravel())[0, 1]) if a.std() and b.std() else 1.0
-        out += [("".join("zyx"[i] for i in axes), s, s * r) for s in (1, -1)]
-    return out
-
-
-def deconvolve(image: np.ndarray, ctf: np.ndarray, snr: np.ndarray | float) -> np.ndarray:
-    """Wiener filter: conj(ctf) / (ctf^2 + 1/snr) in Fourier space."""
-    return np.fft.ifftn(np.fft.fftn(image) * ctf / (ctf**2 + 1 / np.maximum(snr, 1e-9))).real

@@ -189,17 +189,3 @@ def test_logs(spark, tmp_path):
     x = logs.read_xml(spark, f"{tmp_path}/*.xml")
     assert [(r["angle"], r["use"], r["dose"]) for r in logs.tilts(x).filter("path LIKE '%b.xml'").orderBy("i").collect()] == [(-3.0, True, 0.0), (0.0, False, 0.0), (3.0, True, 0.0)]
     assert {r["defocus"] for r in logs.mean_defocus(x).collect()} == {25000.0}
-
-
-def test_reconstruction_of_a_phantom(spark):
-    n, rng = 32, np.random.default_rng(0)
-    g = np.stack(np.meshgrid(*[np.arange(n) - n // 2] * 3, indexing="ij"), -1)
-    phantom = sum(np.exp(-((g - rng.integers(-8, 8, 3)) ** 2).sum(-1) / 8.0) for _ in range(8))
-    rows = [(float(a), 0.0, volumes.project(phantom, a).astype(np.float32).tobytes(), 1.0, n, n, 1.0) for a in range(-60, 61, 4)]
-    t = spark.createDataFrame(rows, "angle double, axis double, image binary, scale double, height int, width int, attenuation double").repartition(3)
-    v = volumes.combine(volumes.insert_slices(t, n), n)
-    assert np.corrcoef(v.ravel(), phantom.ravel())[0, 1] > 0.7
-    b = volumes.volume_of(volumes.back_project(t, (n, n, n)), (n, n, n))
-    assert np.corrcoef(b.ravel(), phantom.ravel())[0, 1] > 0.55
-    assert max(volumes.orientations(phantom, b), key=lambda r: r[2])[:2] == ("", 1)
-    assert np.allclose(volumes.fourier_resize(volumes.fourier_resize(phantom[16], 64), 32), phantom[16], atol=1e-3)
