@@ -2,12 +2,13 @@
 
 Each round names maximal runs of equal symbols, then pairs: every symbol falls left or right by a hash of its name,
 and a left symbol followed by a right one becomes one symbol. Names are hashes of what they stand for, so all tasks
-agree on them without a table. A symbol's name depends on a stretch of words around it that each round widens; equal
-word sequences that hold the whole stretch hold the same symbol. After ``ROUNDS`` rounds a symbol stands for some 2.4
-words named in a context of about 20, always far below a window for ordinary text.
+agree on them without a table, and equal word sequences get equal symbols inside. A symbol's name depends on a stretch of
+words around it that each round widens: some 20 words after three rounds, about a window after four.
 
-A window that holds the context of a symbol found nowhere else cannot recur. All others (also those that hold no whole
-context, as within long runs) are verified by the hash of the whole window.
+Spark rounds go up the LEVELS. In each, packs send the names (with their stretches) of the symbols that lie in windows still
+open, and learn which of them occur elsewhere. A window that holds the whole stretch of a symbol found nowhere else cannot
+recur and is closed; windows whose symbols are all shared stay open. What is left after the highest level is verified by
+128-bit hashes of whole windows (so are windows that hold no whole stretch, as within long runs).
 """
 
 from __future__ import annotations
@@ -22,15 +23,16 @@ from pyspark.sql import functions as F
 from ._common import BYTE, P1, P2, mix, prefix_sums, read, spans_hash, word_hashes, word_spans
 from .packs import buckets_for, counted, held, held_pairs, merged, packs, round_trip, unpack
 
-ROUNDS = 3
+#: rounds after which symbols are shared, and of how many names (by hash) one is sent
+LEVELS = ((3, 2), (4, 1))
 
 
-def symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first, last + 1 word of the context that determines them) after ROUNDS rounds over words ``h``."""
+def symbols(h: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, first, last + 1 word of the context that determines them) after so many rounds over words ``h``."""
     n = len(h)
     name, d = h.copy(), doc
     lo, hi = np.arange(n), np.arange(n) + 1  # context
-    for r in range(ROUNDS):
+    for r in range(rounds):
         for step in ("runs", "pairs"):
             m = len(name)
             if m == 0:
@@ -65,10 +67,11 @@ def _words(x: bytes):
     return data, off, s, e, doc, word_hashes(data, s, e)
 
 
-def _contexts(h: np.ndarray, doc: np.ndarray, width: int):
-    """Keys and contexts of every second symbol (by name) whose context fits a window."""
-    name, lo, hi = symbols(h, doc)
-    pick = (hi - lo <= width) & (lo >= 0) & (hi <= len(h)) & ((name >> np.uint64(9)) & np.uint64(1) == 0)
+def _contexts(h: np.ndarray, doc: np.ndarray, width: int, level: int):
+    """Keys and contexts of a level's symbols (some of the names at low levels) whose context fits a window."""
+    rounds, share = LEVELS[level]
+    name, lo, hi = symbols(h, doc, rounds)
+    pick = (hi - lo <= width) & (lo >= 0) & (hi <= len(h)) & ((name >> np.uint64(9)) % np.uint64(share) == 0)
     name, lo, hi = name[pick], lo[pick], hi[pick]
     return mix(name + spans_hash(prefix_sums(h, P2), lo, hi, P2)), lo, hi
 
@@ -83,16 +86,24 @@ def _distinct(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
 
 
-def _suspects(batch: pa.RecordBatch, i: int, width: int, got):
-    """Windows that symbols do not rule out."""
-    _, _, _, _, doc, h = got
-    keys, lo, hi = _contexts(h, doc, width)
-    alone = (merged(batch, i, "shared", np.uint8) == 0)[np.unique(keys, return_inverse=True)[1]] if len(keys) else np.zeros(0, bool)
-    bad = np.zeros(len(h) + 2, np.int64)
-    np.add.at(bad, np.maximum(hi[alone] - width, 0), 1)
-    np.add.at(bad, lo[alone] + 1, -1)
-    w = _windows(doc, width)
-    return w[np.cumsum(bad)[w] == 0]
+def _open(batch: pa.RecordBatch, i: int, width: int, doc: np.ndarray, h: np.ndarray, levels: int):
+    """Windows that the symbols of the first ``levels`` levels leave open, and keys of the next level's symbols in them."""
+    flag = np.zeros(len(h) + 1, np.int64)
+    flag[_windows(doc, width)] = 1
+    for level in range(levels + 1):
+        if level == len(LEVELS):
+            return np.flatnonzero(flag), None
+        keys, lo, hi = _contexts(h, doc, width, level)
+        before = np.r_[0, np.cumsum(flag)]
+        here = before[lo + 1] > before[np.maximum(hi - width, 0)]  # an open window holds the whole context
+        keys, lo, hi = keys[here], lo[here], hi[here]
+        if level == levels:
+            return np.flatnonzero(flag), keys
+        alone = (merged(batch, i, f"level{level}", np.uint8) == 0)[np.unique(keys, return_inverse=True)[1]] if len(keys) else np.zeros(0, bool)
+        bad = np.zeros(len(h) + 2, np.int64)
+        np.add.at(bad, np.maximum(hi[alone] - width, 0), 1)
+        np.add.at(bad, lo[alone] + 1, -1)
+        flag &= np.cumsum(bad)[: len(flag)] == 0
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
@@ -106,14 +117,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = packs(docs, id_col, text_col)
     buckets = buckets_for(table)
 
-    def symbol_items(batch: pa.RecordBatch, i: int):
-        _, _, _, _, doc, h = _words(batch.column("x")[i].as_py())
-        return counted(_contexts(h, doc, width)[0])
+    def symbol_items(level: int):
+        def items(batch: pa.RecordBatch, i: int):
+            _, _, _, _, doc, h = _words(batch.column("x")[i].as_py())
+            return counted(_open(batch, i, width, doc, h, level)[1])
+
+        return items
 
     def windows(batch: pa.RecordBatch, i: int):
-        """Suspect windows in the order of their 128-bit hashes."""
+        """Open windows in the order of their 128-bit hashes."""
         got = _words(batch.column("x")[i].as_py())
-        w = _suspects(batch, i, width, got)
+        w, _ = _open(batch, i, width, got[4], got[5], len(LEVELS))
         one = spans_hash(prefix_sums(got[5], P2), w, w + width, P2)
         again = spans_hash(prefix_sums(BYTE[got[0]], P2), got[2], got[3], P2)
         two = spans_hash(prefix_sums(again, P1), w, w + width, P1)
@@ -127,7 +141,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         one, two = one[at], two[at]
         return one, lambda s: (two[s], times[s])
 
-    table = round_trip(table, symbol_items, held(2), "uint8", buckets, "shared", 5)
+    for level in range(len(LEVELS)):
+        table = round_trip(table, symbol_items(level), held(2), "uint8", buckets, f"level{level}", 5)
     table = round_trip(table, window_items, held_pairs, "uint8", buckets, "twice")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
