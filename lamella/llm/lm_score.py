@@ -29,7 +29,7 @@ from .packs import BUCKET, buckets_for, cells, merged, packs, round_trip, unpack
 #: re-weightings of the pieces
 ITERATIONS = 2
 #: concentrations tried
-GRID = (100.0, 300.0, 1000.0, 3000.0, 10000.0, 1e6)
+GRID = (300.0, 1000.0, 3000.0, 10000.0, 1e6)
 #: bytes of the vocabulary's longest piece
 MAX_PIECE = 25
 #: longest words whose arcs are all held at once
@@ -82,18 +82,28 @@ class Lattice:
         self.logs, self.hashes = logs, hashes
         self.mask = np.uint64((1 << 18) - 1)
         self.pieces = len(hashes) - 256
-        order = np.argsort(hashes[: self.pieces])
-        self.sorted, self.order = hashes[: self.pieces][order], order
+        own = hashes[: self.pieces]
         self.maybe = np.zeros(1 << 18, bool)
-        self.maybe[(self.sorted & self.mask).astype(np.int64)] = True
+        self.maybe[(own & self.mask).astype(np.int64)] = True
+        # pieces by slot; those that share a slot are tried in turn, in tables by other bits
+        self.slots, left, shift = [], np.arange(self.pieces), 0
+        while len(left) and shift < 44:
+            table = np.full(1 << 18, -1, np.int32)
+            table[((own[left] >> np.uint64(shift)) & self.mask).astype(np.int64)] = left
+            self.slots.append((np.uint64(shift), table))
+            at = table[((own[left] >> np.uint64(shift)) & self.mask).astype(np.int64)]
+            left, shift = left[at != left], shift + 9
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Piece numbers, or -1."""
         out = np.full(len(h), -1, np.int64)
-        near = np.flatnonzero(self.maybe[(h & self.mask).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.sorted, h[near]), self.pieces - 1)
-        ok = self.sorted[at] == h[near]
-        out[near[ok]] = self.order[at[ok]]
+        near = np.flatnonzero(self.maybe[(h & self.mask).view(np.int64)])
+        for shift, table in self.slots:
+            x = h[near]
+            at = table[((x >> shift) & self.mask).view(np.int64)]
+            ok = (at >= 0) & (self.hashes[at] == x)
+            out[near[ok]] = at[ok]
+            near = near[~ok]
         return out
 
     def arcs(self, buf: np.ndarray, start: np.ndarray, width: int, upto: int | None = None) -> list[list[np.ndarray]]:
@@ -251,10 +261,14 @@ def rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def short_words(s: np.ndarray, e: np.ndarray, doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+def short_words(data: np.ndarray, s: np.ndarray, e: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """(documents, SHORT): counts of words of up to three bytes by bucket."""
-    on = e - s <= 3
-    return np.bincount(doc[on] * SHORT + (h[on] % np.uint64(SHORT)).astype(np.int64), minlength=n * SHORT).reshape(n, SHORT)
+    on = np.flatnonzero(e - s <= 3)
+    s, size = s[on], (e - s)[on]
+    code = size.astype(np.uint64)
+    for k in range(3):
+        code = code * np.uint64(256) + np.where(size > k, data[np.minimum(s + k, len(data) - 1)], 0).astype(np.uint64)
+    return np.bincount(doc[on] * SHORT + (mix(code) % np.uint64(SHORT)).astype(np.int64), minlength=n * SHORT).reshape(n, SHORT)
 
 
 def class_weights(together: np.ndarray, texts: float) -> np.ndarray:
@@ -350,8 +364,8 @@ def score_texts(
         for batch in batches:
             for i in range(batch.num_rows):
                 data, off, train = opened(batch, i)
-                _, s, e, doc, h = tokens(data, off)
-                held_by = (short_words(s, e, doc, h, len(train))[train] > 0).astype(np.float32)
+                data = lower_bytes(data)
+                held_by = (short_words(data, *word_spans(data, off), len(train))[train] > 0).astype(np.float32)
                 m += held_by.T @ held_by
                 texts += int(train.sum())
         i, j = np.nonzero(np.triu(m))
@@ -370,7 +384,7 @@ def score_texts(
         """(lower-cased bytes, starts, ends, document, hash of words; class of documents)."""
         data, s, e, doc, h = tokens(data, off)
         n = len(off) - 1
-        return data, s, e, doc, h, (short_words(s, e, doc, h, n) @ by_class).argmax(1)
+        return data, s, e, doc, h, (short_words(data, s, e, doc, n) @ by_class).argmax(1)
 
     cs = [f"c{k}" for k in range(CLASSES)]
     counts_type = ", ".join(f"{c} long" for c in cs)

@@ -253,15 +253,16 @@ def test_lm_score_from_first_principles(spark):
     learnt = [0, 1, 2, 3]
     split = [[*words((t or "").lower()), None] for t in texts]
     c = Counter(x for i in learnt for x in split[i])
-    first = np.exp(logs)
-    counts = np.zeros(len(order))
-    for w in {x for x in c if x}:
-        whole = prob(b" " + w.encode(), first)
-        for way in ways(b" " + w.encode()):
-            np.add.at(counts, way, math.prod(first[i] for i in way) / whole)
-    prior = counts + 1e-3 * counts.sum() * first
-    trained = counts + 1e-2 * counts.sum() * prior / prior.sum()
-    trained /= trained.sum()
+    first = trained = np.exp(logs)
+    for _ in range(lm_score.ITERATIONS):
+        counts = np.zeros(len(order))
+        for w in {x for x in c if x}:
+            whole = prob(b" " + w.encode(), trained)
+            for way in ways(b" " + w.encode()):
+                np.add.at(counts, way, math.prod(trained[i] for i in way) / whole)
+        prior = counts + 1e-3 * counts.sum() * first
+        trained = counts + 1e-2 * counts.sum() * prior / prior.sum()
+        trained /= trained.sum()
     ends, types = len(learnt), {x: k for x, k in c.items() if x}
     n, v = sum(c.values()), len(c)
     once, twice = (sum(k == m for k in types.values()) for m in (1, 2))
@@ -284,7 +285,7 @@ def test_lm_score_from_first_principles(spark):
     assert {r["concentration"] for r in got.values()} == {best}
     for i, w in enumerate(split):
         want = (score(w, best) + math.log((ends + 1) / (ends + lm_score.CLASSES))) / math.log(10)
-        assert math.isclose(got[i]["score"], want, rel_tol=1e-5), (i, got[i]["score"], want)
+        assert math.isclose(got[i]["score"], want, rel_tol=1e-5), (i, got[i], want)
 
 
 def test_lattice_sums_all_segmentations():
