@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.session import checkpoint
+
 #: white space of the word and line contracts: space and 0x09-0x0D
 WS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,22 +32,13 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lamella-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that a checkpoint has replaced; it does so when the JVM collects them."""
+    """Let Spark drop the shuffle files of plans that a checkpoint has replaced; it does so when the JVM collects them.
+
+    Only disk space depends on it: without a JVM at hand (Spark Connect) nothing happens.
+    """
+    if not hasattr(spark, "_jvm"):
+        return
     gc.collect()
     time.sleep(1.2)  # the gateway tells the JVM within a second what Python no longer holds
     spark.sparkContext._jvm.System.gc()

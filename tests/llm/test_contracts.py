@@ -187,3 +187,20 @@ def test_suffix_sorting_of_repeats_and_ties(spark):
                 gone |= set(range(k, k + 50))
         return len(gone), sum(k - 1 not in gone for k in gone)
     assert got == Counter((i, len(t or ""), *removed(i, t or "")) for i, t in rows)
+
+
+def test_pipeline_of_an_empty_table_and_odd_names(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _h1 int, score string, n_lines int, row int, _bad int, base int"
+    rows = [(1, "a fine text of some words that stays as it is", "en", "a", 45, 1, "s", 2, 3, 4, 5), (None, None, None, None, None, 1, "s", 2, 3, 4, 5)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in ([], rows):
+        docs = spark.createDataFrame(some, kind)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "mixing":
+                assert set(docs.columns) <= set(out.columns) and out.count() == len(some) // 2
+            else:
+                assert out.columns == docs.columns and out.count() == len(some)
+                assert all((r["score"], r["n_lines"], r["row"], r["_bad"], r["base"]) == ("s", 2, 3, 4, 5) for r in out.collect())
