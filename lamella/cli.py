@@ -223,7 +223,7 @@ def trace_filaments(a) -> None:
     spark = session()
     vox, head = _voxels(spark, a.input)
     pixel = a.pixel_size or head.voxel
-    found = filaments.trace(voxels.label(vox, "26"), pixel, a.spacing, a.min_voxels, a.min_length, a.smooth).cache()
+    found = filaments.trace(voxels.label(vox, "26"), pixel, a.spacing, a.min_voxels, a.min_length, a.presmooth_window, a.smooth_factor).cache()
     out = filaments.traced_particles(found, pixel, F.lit(a.micrograph or os.path.basename(a.input)), a.magnification, a.group_number)
     if a.random_rot:
         out = picks.randomise_rot(out, a.seed)
@@ -368,7 +368,7 @@ def main(argv: list[str] | None = None) -> None:
     options(p, outdir=".", scale=4.0, pixel_size=9.98, random=False, seed=0, micrograph_suffix=".mrc_9.98Apx.mrc")
     p = command("trace-filaments trace", trace_filaments, "input")
     p.add_argument("-o", "--output", default="particles.star")
-    options(p, pixel_size=float, spacing=82.0, min_voxels=50, min_length=500.0, smooth=3, micrograph=str, magnification=10000, group_number=1, bild=False, random_rot=False, seed=0)
+    options(p, pixel_size=float, spacing=82.0, min_voxels=50, min_length=500.0, smooth_factor=1.0, presmooth_window=3, micrograph=str, magnification=10000, group_number=1, bild=False, random_rot=False, seed=0)
     p = command("write-ebt", write_ebt, "input", "output")
     p.add_argument("--platform", default="linux", choices=["linux", "windows"])
     options(p, root_name="batchMay08-150740")

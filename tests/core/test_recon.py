@@ -132,3 +132,50 @@ def test_tilt_images(spark, tmp_path):
     mrc.write_mrc(f"{tmp_path}/u.mrc", np.full((1, 2, 2), 200, np.uint8))
     assert mrc.read_mrc(f"{tmp_path}/u.mrc")[0].max() == 200
     assert mrc.png(data[0])[:8] == b"\x89PNG\r\n\x1a\n"
+
+
+def test_thinning():
+    from lamella.operators import filaments
+
+    rng = np.random.default_rng(4)
+
+    def pieces(cells, beside):
+        left, n = set(cells), 0
+        while left:
+            n, stack = n + 1, [left.pop()]
+            while stack:
+                a = stack.pop()
+                for b in [b for b in left if beside(a, b)]:
+                    left.discard(b)
+                    stack.append(b)
+        return n
+
+    near = rng.random((300, 26)) < rng.random((300, 1))
+    got = filaments.simple_points(near)
+    cells = [tuple(c) for c in filaments._CELLS]
+    step = lambda a, b: [abs(x - y) for x, y in zip(a, b)]
+    for block, fine in zip(near, got):
+        obj = [c for c, on in zip(cells, block) if on]
+        rest = [c for c, on in zip(cells, block) if not on and sum(map(abs, c)) <= 2]
+        left, found = set(rest), 0
+        faces = [c for c in rest if sum(map(abs, c)) == 1]
+        while faces:  # components that hold a face neighbour
+            found, stack = found + 1, [faces[0]]
+            left.discard(faces[0])
+            while stack:
+                a = stack.pop()
+                for b in [b for b in left if sum(step(a, b)) == 1]:
+                    left.discard(b)
+                    stack.append(b)
+            faces = [c for c in faces if c in left]
+        assert fine == (pieces(obj, lambda a, b: max(step(a, b)) == 1) == 1 and found == 1)
+    ring = np.zeros((9, 15, 15), bool)
+    z, y, x = np.indices(ring.shape)
+    ring[np.abs(np.hypot(np.hypot(y - 7, x - 7) - 5, z - 4)) <= 1.5] = True
+    bones = filaments.thin(ring)
+    points = np.argwhere(bones)
+    degree = [(np.abs(points - p).max(1) == 1).sum() for p in points]
+    assert set(degree) == {2} and 20 <= len(points) <= 40  # a closed curve
+    line = np.linspace(0, 1, 80)[:, None] * [0, 0, 79.0] + rng.normal(0, 0.5, (80, 3))
+    out, tangent = filaments.resample(line, 8.0, 3, 1.0)
+    assert len(out) >= 9 and np.abs(out[1:-1, :2]).max() < 0.6 and (tangent[:, 2] > 0.95).all()
