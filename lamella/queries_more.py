@@ -468,3 +468,38 @@ def split_name_collisions(spark, d):
     li = table(spark, d, "lineitem").select(F.lower("l_returnflag").alias("a"), F.lower("l_linestatus").alias("b"), "l_orderkey")
     odd = li.select(F.concat_ws("_", "a", "b").alias("a"), F.lit("x").alias("b"), "l_orderkey").unionByName(li.select("a", F.concat_ws("_", "b", F.lit("x")).alias("b"), "l_orderkey"))
     return S.collisions(S.split_plan(odd, ["a", "b"], "l_orderkey"))
+
+
+# ------------------------------------------------------------ order, lines and matrices
+@query("""WITH e AS (SELECT user_id, event_id, ts, CASE WHEN user_id % 3 = 0 AND event_id % 2 = 0 THEN NULL ELSE event_id * 2.0 END AS stamp, CASE WHEN user_id % 6 = 0 THEN NULL ELSE date_trunc('second', ts) END AS t, 1000000 - event_id AS z FROM events),
+m AS (SELECT user_id, bool_or(stamp IS NULL) AS ms, bool_or(t IS NULL) AS mt FROM e GROUP BY 1)
+SELECT event_id, CAST(CASE WHEN NOT ms THEN stamp WHEN NOT mt THEN epoch(t) ELSE z END AS DOUBLE) AS key FROM e JOIN m USING (user_id)""")
+def acquisition_order(spark, d):
+    e = table(spark, d, "events").withColumns({
+        "stamp": F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 2 == 0), F.lit(None)).otherwise(F.col("event_id") * 2.0),
+        "t": F.when(F.col("user_id") % 6 != 0, F.date_trunc("second", "ts")),
+        "z": 1000000 - F.col("event_id"),
+    })
+    return e.select("event_id", L.acquisition_key("stamp", "t", "z", "user_id").alias("key"))
+
+
+@query("""SELECT event_id AS i, printf('%12.7f%12.7f%12.7f%12.7f%12.3f%12.3f', cos(a), sin(a), -sin(a), cos(a), 0.5 - (cos(a) * u + sin(a) * v), 0.5 - (cos(a) * v - sin(a) * u)) AS line
+FROM (SELECT event_id, radians(value) AS a, value * 3 / 2.5 - 49.5 AS u, (event_id % 97) / 2.5 - 79.5 AS v FROM events)""")
+def transform_lines(spark, d):
+    t = table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("value").alias("axis"), (F.col("value") * 3).alias("x"), (F.col("event_id") % 97).alias("y"))
+    return writers.transforms(t, 2.5, 100, 160)
+
+
+@query("SELECT event_id AS i, printf('%9.2f', value + 1.5) AS angle, printf('%.6f', value / 100) AS weight FROM events")
+def angle_and_weight_lines(spark, d):
+    t = table(spark, d, "events").select(F.col("event_id").alias("i"), F.col("value").alias("angle"), (F.col("value") / 100).alias("scale"))
+    return writers.tilt_angles(t, 1.5).withColumnRenamed("line", "angle").join(writers.view_weights(t).withColumnRenamed("line", "weight"), "i")
+
+
+@query("""SELECT vec_id, round(cos(p) * cos(t) * cos(r) - sin(p) * sin(r), 6) AS m00, round(-cos(p) * cos(t) * sin(r) - sin(p) * cos(r), 6) AS m01, round(cos(p) * sin(t), 6) AS m02, round(-sin(t) * cos(r), 6) AS m20, round(cos(t), 6) AS m22
+FROM (SELECT vec_id, radians(x) AS r, radians(y) AS t, radians(z) AS p FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y, CAST(embedding[3] AS DOUBLE) * 100 AS z FROM embeddings))""")
+def euler_matrix(spark, d):
+    from .functions import orient as O
+
+    m = O.matrix_zyz(F.col("x"), F.col("y"), F.col("z"))
+    return _points(spark, d).select(F.col("_row").alias("vec_id"), *[r6(m[i][j]).alias(f"m{i}{j}") for i, j in ((0, 0), (0, 1), (0, 2), (2, 0), (2, 2))])

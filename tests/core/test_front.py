@@ -112,3 +112,24 @@ def test_commands(spark, tmp_path):
     star.write_star({"particles": df}, f"{t}/p.star")
     cli.main(["split-star", f"{t}/p.star", f"{t}/s", "--range-by", "rlnX", "--breaks", "2", "--group-by", "rlnMicrographName"])
     assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.suffix == ".star") == ["a_ge2.star", "a_lt2.star", "b_ge2.star"]
+
+
+def test_streaming(spark, tmp_path):
+    from lamella import streaming
+
+    (tmp_path / "in").mkdir()
+
+    def put(name, doses):
+        (tmp_path / "in" / name).write_text("".join(f"[ZValue = {i}]\nExposureDose = {d}\n" for i, d in enumerate(doses)))
+
+    def run():
+        lines = streaming.arriving_lines(spark, f"{tmp_path}/in")
+        q = streaming.exposures(lines).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+        out = []
+        q.foreachBatch(lambda df, _: out.extend((r["path"].rsplit("/", 1)[1], r["n"], r["total"]) for r in df.collect())).start().awaitTermination(60)
+        return sorted(out)
+
+    put("a.mdoc", [3.0, 3.5])
+    assert run() == [("a.mdoc", 2, 6.5)]
+    put("b.mdoc", [1.0])
+    assert run() == [("b.mdoc", 1, 1.0)]  # files are read once
