@@ -27,7 +27,7 @@ from ._common import BYTE, P1, checkpoint, lower_bytes, mix, prefix_sums, read,
 from .packs import BUCKET, buckets_for, cells, merged, packs, round_trip, unpack
 
 #: re-weightings of the pieces
-ITERATIONS = 2
+ITERATIONS = 1
 #: concentrations tried
 GRID = (300.0, 1000.0, 3000.0, 10000.0, 1e6)
 #: bytes of the vocabulary's longest piece
