@@ -27,16 +27,17 @@ from .packs import buckets_for, counted, held, held_pairs, merged, packs, round_
 LEVELS = ((3, 2), (4, 1))
 
 
-def symbols(h: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first, last + 1 word of the context that determines them) after so many rounds over words ``h``."""
+def symbols(h: np.ndarray, doc: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(names, first, last + 1 word of the context that determines them) of words ``h`` at each of the first ``upto`` LEVELS."""
     n = len(h)
     name, d = h.copy(), doc
     lo, hi = np.arange(n), np.arange(n) + 1  # context
-    for r in range(rounds):
+    stops = [rounds for rounds, _ in LEVELS[:upto]]
+    for r in range(max(stops, default=0)):
         for step in ("runs", "pairs"):
             m = len(name)
             if m == 0:
-                return name, lo, hi
+                break
             same = np.zeros(m, bool)
             same[1:] = d[1:] == d[:-1]
             # a text's edge is not seen by the words of a copy elsewhere: contexts there reach beyond the text
@@ -58,7 +59,8 @@ def symbols(h: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np
                 last = at + starts[at]
                 new = np.where(starts[at], mix(name[at] * np.uint64(3) + mix(name[last])), name[at])
             name, lo, hi, d = new, np.minimum(left[at], lo[at]), np.maximum(right[last], hi[last]), d[at]
-    return name, lo, hi
+        if r + 1 in stops:
+            yield name, lo, hi
 
 
 def _words(x: bytes):
@@ -67,13 +69,13 @@ def _words(x: bytes):
     return data, off, s, e, doc, word_hashes(data, s, e)
 
 
-def _contexts(h: np.ndarray, doc: np.ndarray, width: int, level: int):
-    """Keys and contexts of a level's symbols (some of the names at low levels) whose context fits a window."""
-    rounds, share = LEVELS[level]
-    name, lo, hi = symbols(h, doc, rounds)
-    pick = (hi - lo <= width) & (lo >= 0) & (hi <= len(h)) & ((name >> np.uint64(9)) % np.uint64(share) == 0)
-    name, lo, hi = name[pick], lo[pick], hi[pick]
-    return mix(name + spans_hash(prefix_sums(h, P2), lo, hi, P2)), lo, hi
+def _contexts(h: np.ndarray, doc: np.ndarray, width: int, upto: int):
+    """Keys and contexts of the symbols (some of the names at low levels) whose context fits a window, level by level."""
+    sums = prefix_sums(h, P2)
+    for (_, share), (name, lo, hi) in zip(LEVELS, symbols(h, doc, upto), strict=False):
+        pick = (hi - lo <= width) & (lo >= 0) & (hi <= len(h)) & ((name >> np.uint64(9)) % np.uint64(share) == 0)
+        name, lo, hi = name[pick], lo[pick], hi[pick]
+        yield mix(name + spans_hash(sums, lo, hi, P2)), lo, hi
 
 
 def _windows(doc: np.ndarray, width: int) -> np.ndarray:
@@ -90,10 +92,7 @@ def _open(batch: pa.RecordBatch, i: int, width: int, doc: np.ndarray, h: np.ndar
     """Windows that the symbols of the first ``levels`` levels leave open, and keys of the next level's symbols in them."""
     flag = np.zeros(len(h) + 1, np.int64)
     flag[_windows(doc, width)] = 1
-    for level in range(levels + 1):
-        if level == len(LEVELS):
-            return np.flatnonzero(flag), None
-        keys, lo, hi = _contexts(h, doc, width, level)
+    for level, (keys, lo, hi) in enumerate(_contexts(h, doc, width, min(levels + 1, len(LEVELS)))):
         before = np.r_[0, np.cumsum(flag)]
         here = before[lo + 1] > before[np.maximum(hi - width, 0)]  # an open window holds the whole context
         keys, lo, hi = keys[here], lo[here], hi[here]
@@ -104,6 +103,7 @@ def _open(batch: pa.RecordBatch, i: int, width: int, doc: np.ndarray, h: np.ndar
         np.add.at(bad, np.maximum(hi[alone] - width, 0), 1)
         np.add.at(bad, lo[alone] + 1, -1)
         flag &= np.cumsum(bad)[: len(flag)] == 0
+    return np.flatnonzero(flag), None
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35) -> DataFrame:
