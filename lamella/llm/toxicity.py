@@ -1,12 +1,12 @@
 """Toxicity (6): noisy-channel restoration of disguised words, then evidence from restored words.
 
-Model, all trained here from a bounded sample of labelled rows:
+Model, all trained here from all labelled rows; what is counted over them is counted in Spark:
 
 * a character trigram model over a-z and the word boundary;
 * evidence weights of word features (whole word and its first 4, 5 and 6 bytes): the lower confidence bound of the
   log odds, so chance hits of rare words weigh little;
-* a logistic link from a text's strongest evidence and its sum, fitted on evidence that each half of the sample gets
-  from the weights of the other half.
+* a logistic link from a text's strongest evidence and its sum, fitted on evidence that each half of the labelled rows
+  gets from the weights of the other half.
 
 Restoration: a token is a lattice of its character runs. Plain letters have one reading; look-alike symbols may be
 letters or separators; repeated letters may be one or two; single characters in a row may be one word or several. Viterbi
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.session import ship
+from lamella.session import checkpoint, ship
 
-from ._common import BYTE, P1, chunks, lower_bytes, prefix_sums, read, spans_hash, word_spans
+from ._common import BYTE, P1, chunks, lower_bytes, prefix_sums, read, release, spans_hash, trim, word_spans
+from .packs import packs, unpack
 
-#: labelled rows that training uses at most (the smallest by hash of their id)
-MAX_LABELLED = 30_000
+#: rows of counts that a task holds before it sends them
+HELD = 1 << 19
 PREFIXES = (4, 5, 6)
 #: standard errors that a weight gives up
 CONFIDENCE = 2.5
@@ -196,9 +197,9 @@ def features(data: np.ndarray, off: np.ndarray, restorer: Restorer) -> tuple[np.
 
 
 def evidence(model: ToxicModel, data: np.ndarray, off: np.ndarray, restorer: Restorer) -> np.ndarray:
-    """(documents, 3, 2): the strongest word's evidence and the sum over distinct features, by each set of weights."""
-    n = len(off) - 1
-    out = np.zeros((n, 3, 2))
+    """(documents, sets, 2): the strongest word's evidence and the sum over distinct features, by each set of weights."""
+    n, sets = len(off) - 1, model.weights.shape[1]
+    out = np.zeros((n, sets, 2))
     if not len(model.hashes):
         return out
     doc, word, h = features(data, off, restorer)
@@ -209,10 +210,10 @@ def evidence(model: ToxicModel, data: np.ndarray, off: np.ndarray, restorer: Res
     at[at == len(model.hashes)] = 0
     hit = model.hashes[at] == h[near]
     doc, word, at = doc[near][hit], word[near][hit], at[hit]
-    for k in range(3):
+    _, once = np.unique(doc * len(model.hashes) + at, return_index=True)
+    for k in range(sets):
         w = np.maximum(model.weights[at, k], 0)
         np.maximum.at(out[:, k, 0], doc, w)
-        _, once = np.unique(doc * len(model.hashes) + at, return_index=True)
         np.add.at(out[:, k, 1], doc[once], w[once])
     return out
 
@@ -221,18 +222,42 @@ def _link(x: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(x)), x[:, 0], np.log1p(x[:, 1])], 1)
 
 
-def _fit_link(x: np.ndarray, y: np.ndarray) -> tuple:
-    """Logistic regression with a small ridge, by Newton steps."""
-    z, b = _link(x), np.zeros(3)
+def _fit_link(points: DataFrame) -> tuple:
+    """Logistic regression with a small ridge over ``points`` (m, s, y, n: how often), by Newton steps.
+
+    Each step sums gradient and Hessian over all rows in Spark. Nine digits are kept: the order of sums has no say.
+    """
+    z, pairs, b = (F.lit(1.0), F.col("m"), F.log1p("s")), [(i, j) for i in range(3) for j in range(i + 1)], np.zeros(3)
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        g = z.T @ (y - p) - 0.05 * b * [0, 1, 1]
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([1e-6, 0.05, 0.05])
-        step = np.linalg.solve(hess, g)
+        at = sum((z[i] * float(b[i]) for i in range(3)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(at, F.lit(30.0)), F.lit(-30.0))))
+        rows = points.select(p.alias("p"), "y", "n", *[z[i].alias(f"z{i}") for i in range(3)])
+        g, h = F.expr("n * (y - p)"), F.expr("n * p * (1 - p)")
+        sums = rows.agg(*[F.sum(g * F.col(f"z{i}")) for i in range(3)], *[F.sum(h * F.col(f"z{i}") * F.col(f"z{j}")) for i, j in pairs]).first()
+        hess = np.zeros((3, 3))
+        for (i, j), x in zip(pairs, sums[3:], strict=True):
+            hess[i, j] = hess[j, i] = x
+        step = np.linalg.solve(hess + np.diag([1e-6, 0.05, 0.05]), np.array(sums[:3]) - 0.05 * b * [0, 1, 1])
         b += step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(b)
+    return tuple(np.round(b, 9).tolist())
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(groups of the texts, bytes, offsets) of packs, one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            data, off = unpack(batch.column("x")[i].as_py())
+            yield batch.column("ids").slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int64), data, off
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each h once, with the sums of its rows of n."""
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    return h[first], np.add.reduceat(n[order], first) if len(h) else n
 
 
 def train_toxicity(
@@ -242,74 +267,81 @@ def train_toxicity(
     text_col: str = "text",
     label_col: str = "toxic",
     learn=None,
-    max_labelled: int = MAX_LABELLED,
 ) -> ToxicModel:
-    """Fit on at most ``max_labelled`` rows of ``labels`` (all labelled rows where fewer) that ``learn`` (a Column) keeps.
+    """Fit on all rows of ``labels`` that ``learn`` (a Column) keeps.
 
-    Null labels and ids are left out; a repeated label row counts again. Without a toxic label nothing is toxic.
+    Null labels and ids are left out; a repeated label row counts again. Without a toxic label nothing is toxic. The order
+    of rows has no say. The driver holds the model alone: 32 bytes a feature that three toxic texts hold and that speaks
+    for them.
     """
-    ship(docs.sparkSession)
-    sample = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    spark = docs.sparkSession
+    ship(spark)
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if learn is not None:
-        sample = sample.filter(learn)
-    sample = (
-        sample.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
-        .orderBy(F.xxhash64(F.lit(5), "_id"), "_id", "y")
-        .limit(max_labelled)
-    )
-    texts = (
-        docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(sample), "_id")
-        .select("text", "y", F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(2)).cast("int").alias("half"))
-    )
+        known = known.filter(learn)
+    known = known.select(F.col(id_col).alias("_id"), (F.col(label_col).cast("int") > 0).cast("int").alias("y"))
+    half = F.pmod(F.xxhash64(F.lit(11), "_id"), F.lit(2)).cast("int")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(known.hint("merge"), "_id")
+    texts = packs(texts.select((half * 2 + F.col("y")).alias("group"), "text"), "group", "text")
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(27**3, np.int64)
+        total = np.zeros(27**3 + 4, np.int64)  # of trigrams, then of texts by group
         code = np.full(256, 26, np.int64)
         code[97:123] = np.arange(26)
-        for batch in batches:
-            for _, _, data, _ in chunks(batch, "text"):
-                c = np.r_[26, 26, code[lower_bytes(data)], 26]
-                keep = ~((c[1:-1] == 26) & (c[2:] == 26))
-                b = c[1:-1]
-                a = np.where(b == 26, 26, c[:-2])
-                total += np.bincount(((a * 27 + b) * 27 + c[2:])[keep], minlength=27**3)
+        for group, data, off in _packed(batches):
+            c = np.r_[26, 26, np.insert(code[lower_bytes(data)], off[1:-1], 26), 26]  # no word crosses into the next text
+            keep = ~((c[1:-1] == 26) & (c[2:] == 26))
+            b = c[1:-1]
+            a = np.where(b == 26, 26, c[:-2])
+            total[: 27**3] += np.bincount(((a * 27 + b) * 27 + c[2:])[keep], minlength=27**3)
+            total[27**3 :] += np.bincount(group, minlength=4)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+        trim()
 
     model = ToxicModel()
-    counts = np.full(27**3, 0.02)
+    counts = np.zeros(27**3 + 4)
     for k, n in texts.mapInArrow(letters, "k long, n long").groupBy("k").agg(F.sum("n")).collect():
         counts[k] += n
-    counts = counts.reshape(27, 27, 27)
+    release(spark)  # the join; a job after its own, as the last job's files stay
+    n = counts[27**3 :].tolist()
+    counts = counts[: 27**3].reshape(27, 27, 27) + 0.02
     bigram = counts.sum(0)
     smooth = counts + 5 * (bigram / bigram.sum(-1, keepdims=True))[None]
     model.trigram = np.log(smooth / smooth.sum(-1, keepdims=True))
     trigram = model.trigram
+    if n[1] + n[3] == 0:
+        return model
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(trigram)
-        for batch in batches:
-            group = batch.column("half").to_numpy().astype(np.int64) * 2 + (batch.column("y").to_numpy() > 0)
-            pairs = []
-            for lo, hi, data, off in chunks(batch, "text"):
-                doc, _, h = features(data, off, restorer)
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                pairs.append((group[lo:hi][doc[new]], h[new]))
-            g, h = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, np.uint64))
-            u, inverse = np.unique(h, return_inverse=True)
-            n = np.bincount(inverse * 4 + g, minlength=4 * len(u)).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u.view(np.int64)), *(pa.array(n[:, i]) for i in range(4))], names=["h", "a0", "a1", "b0", "b1"]
+        restorer, held = Restorer(trigram), []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def row(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(h.view(np.int64)), *(pa.array(n[:, i].astype(np.int64)) for i in range(4))], names=["h", "a0", "a1", "b0", "b1"]
             )
 
-    sizes = {(r["half"], r["y"] > 0): r["n"] for r in texts.groupBy("half", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = [float(sizes.get((k, t), 0)) for k in (0, 1) for t in (False, True)]
-    if n[1] + n[3] == 0:
-        return model
+        for group, data, off in _packed(batches):
+            doc, _, h = features(data, off, restorer)
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            u, inverse = np.unique(h[new], return_inverse=True)
+            of = np.bincount(inverse * 4 + group[doc[new]], minlength=4 * len(u)).reshape(-1, 4).astype(np.int32)
+            held.append((u, of))
+            if sum(len(x) for x, _ in held) > HELD:
+                held = [merged()]
+                if len(held[0][0]) > HELD // 2:
+                    yield row(*held[0])
+                    held = []
+        if held:
+            yield row(*merged())
+        trim()
+
     rows = texts.mapInArrow(counted, "h long, a0 long, a1 long, b0 long, b1 long")
     rows = rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in ("a0", "a1", "b0", "b1")])
 
@@ -329,25 +361,22 @@ def train_toxicity(
         )
         .filter(c("w") > 0.5)
         .select("h", "w", "w0", "w1")
-        .collect()  # of the sample's features those that three toxic texts hold: bounded with max_labelled
+        .toArrow()  # the model: features of toxic texts, not rows
     )
-    h = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    h = top["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    model.hashes, model.weights = h[order], np.array([r[1:] for r in top], float).reshape(-1, 3)[order]
-    model_now = model
+    model.hashes, model.weights = h[order], np.stack([top[k].to_numpy() for k in ("w", "w0", "w1")], 1)[order]
+    now = ToxicModel(trigram, model.hashes, model.weights)
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model_now.trigram)
-        for batch in batches:
-            half = batch.column("half").to_numpy()
-            for lo, hi, data, off in chunks(batch, "text"):
-                x = evidence(model_now, data, off, restorer)[np.arange(hi - lo), 1 + half[lo:hi]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("y").slice(lo, hi - lo)], names=["m", "s", "y"]
-                )
-
-    fit = texts.mapInArrow(calibrate, "m double, s double, y int").collect()  # max_labelled rows of three numbers
-    model.link = _fit_link(np.array([r[:2] for r in fit]), np.array([float(r[2] > 0) for r in fit]))
+        restorer = Restorer(trigram)
+        for group, data, off in _packed(batches):
+            x = evidence(now, data, off, restorer)[np.arange(len(group)), 1 + group // 2]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array((group % 2).astype(np.int32))], names=["m", "s", "y"])
+        trim()
+
+    points = texts.mapInArrow(calibrate, "m double, s double, y int").groupBy("m", "s", "y").agg(F.count(F.lit(1)).alias("n"))
+    model.link = _fit_link(checkpoint(points))
     return model
 
 

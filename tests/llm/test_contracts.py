@@ -204,3 +204,60 @@ def test_pipeline_of_an_empty_table_and_odd_names(spark, tmp_path):
             else:
                 assert out.columns == docs.columns and out.count() == len(some)
                 assert all((r["score"], r["n_lines"], r["row"], r["_bad"], r["base"]) == ("s", 2, 3, 4, 5) for r in out.collect())
+
+
+def _late(spark, n, last, where="true"):
+    """Ids below n; the ``last`` of them by the hash that once chose which 30,000 labelled rows training reads."""
+    ids = [r[0] for r in spark.range(n).filter(where).orderBy(F.xxhash64(F.lit(5), "id"), "id").collect()]
+    assert len(ids) - last > 30_000
+    return set(ids[-last:])
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    n, toxic = 30_200, _late(spark, 30_200, 60)
+    docs = spark.createDataFrame([(i, f"scumbag w{i % 97}" if i in toxic else f"fine w{i % 97}") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(n)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels)
+    got = toxicity.score_toxicity(docs, model).select("doc_id", "score").collect()
+    assert {r["doc_id"] for r in got if r["score"] >= 0.3} == toxic
+
+
+def test_toxicity_training_against_plain_counts(spark):
+    rows = [(i, f"you 1d10t number {i}" if i % 3 == 0 else f"good number {i}") for i in range(60)] + [(60, "ab"), (61, ""), (62, None), (62, "cd")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = [(i, int(i % 3 == 0)) for i in range(64)] + [(0, 1)]
+    labels = spark.createDataFrame(known, "doc_id long, toxic int")
+    models = [toxicity.train_toxicity(x, labels) for x in (docs.repartition(5), docs.coalesce(1).orderBy(F.desc("doc_id")))]
+    assert np.array_equal(models[0].trigram, models[1].trigram) and np.array_equal(models[0].hashes, models[1].hashes)
+    assert np.array_equal(models[0].weights, models[1].weights) and models[0].link == models[1].link
+
+    counts = np.full((27, 27, 27), 0.02)
+    held = [(i, t or "", y) for i, t in rows for j, y in known if i == j]
+    for _, t, _ in held:
+        a = b = 26
+        for z in [ord(c) - 97 if "a" <= c <= "z" else 26 for c in t] + [26]:
+            if (b, z) != (26, 26):
+                counts[a, b, z] += 1
+            a, b = (26, 26) if z == 26 else (b, z)
+    bigram = counts.sum(0)
+    smooth = counts + 5 * (bigram / bigram.sum(-1, keepdims=True))[None]
+    assert np.allclose(models[0].trigram, np.log(smooth / smooth.sum(-1, keepdims=True)))
+
+    by = {}
+    for _, t, y in held:
+        for h in set(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), toxicity.Restorer(models[0].trigram))[2].tolist()):
+            by.setdefault(h, [0, 0])[y] += 1
+    all1 = sum(y for *_, y in held)
+    odds = {h: math.log((p + 0.5) / (q + 0.5)) - math.log((all1 + 1) / (len(held) - all1 + 1)) - toxicity.CONFIDENCE * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)) for h, (q, p) in by.items() if p >= 3}
+    odds = {h: w for h, w in odds.items() if w > 0.5}
+    assert dict(zip(models[0].hashes.tolist(), models[0].weights[:, 0].tolist(), strict=True)) == pytest.approx(odds)
+
+
+def test_toxicity_link_over_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    m, s = rng.integers(0, 4, 300) / 2, rng.integers(0, 5, 300).astype(float)
+    y = (rng.random(300) < 1 / (1 + np.exp(2 - m - np.log1p(s)))).astype(int)
+    points = spark.createDataFrame(list(zip(m.tolist(), s.tolist(), y.tolist(), strict=True)), "m double, s double, y int").groupBy("m", "s", "y").agg(F.count(F.lit(1)).alias("n"))
+    z, b = np.stack([np.ones(300), m, np.log1p(s)], 1), np.array(toxicity._fit_link(points))
+    slope = z.T @ (y - 1 / (1 + np.exp(-z @ b))) - 0.05 * b * [0, 1, 1]
+    assert np.abs(slope).max() < 1e-5
