@@ -261,3 +261,13 @@ def test_toxicity_link_over_repeated_rows(spark):
     z, b = np.stack([np.ones(300), m, np.log1p(s)], 1), np.array(toxicity._fit_link(points))
     slope = z.T @ (y - 1 / (1 + np.exp(-z @ b))) - 0.05 * b * [0, 1, 1]
     assert np.abs(slope).max() < 1e-5
+
+
+def test_pipeline_toxicity_learns_from_every_labelled_row(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    learnt = "pmod(crc32(cast(cast(id AS string) AS binary)), 4) <> 2"
+    n, toxic = 40_400, _late(spark, 40_400, 60, learnt)
+    docs = spark.createDataFrame([(f"w{i % 97}", i, f"scumbag w{i % 97}" if i in toxic else f"fine w{i % 97}") for i in range(n)], "lang string, doc_id long, text string")
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(n)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipeline.toxicity(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect() if r["doc_id"] not in toxic}
