@@ -70,7 +70,7 @@ class Restorer:
 
     def __init__(self, trigram: np.ndarray):
         self.t = trigram.tolist()
-        self.word = lru_cache(200_000)(self._word)
+        self.word = lru_cache(50_000)(self._word)
 
     @staticmethod
     def readings(c: str, n: int) -> list[tuple[str, float]]:
@@ -218,10 +218,6 @@ def evidence(model: ToxicModel, data: np.ndarray, off: np.ndarray, restorer: Res
     return out
 
 
-def _link(x: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(x)), x[:, 0], np.log1p(x[:, 1])], 1)
-
-
 def _fit_link(points: DataFrame) -> tuple:
     """Logistic regression with a small ridge over ``points`` (m, s, y, n: how often), by Newton steps.
 
@@ -391,15 +387,18 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", k
     source = docs.select(*kept, *([] if text_col in kept else [text_col]))
     schema = docs.select(*kept).schema.add("score", "double")
 
+    whole = ToxicModel(model.trigram, model.hashes, model.weights[:, :1])  # the halves' weights only fit the link
+    b = np.array(model.link)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.trigram)
-        b = np.array(model.link)
+        restorer = Restorer(whole.trigram)
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for lo, hi, data, off in chunks(batch, text_col):
-                z = _link(evidence(model, data, off, restorer)[:, 0]) @ b
-                score[lo:hi] = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score)], names=[*kept, "score"])
+            for lo, hi, data, off in chunks(batch, text_col):  # rows go back by the chunk: none waits for the batch's last
+                x = evidence(whole, data, off, restorer)[:, 0]
+                z = np.stack([np.ones(len(x)), x[:, 0], np.log1p(x[:, 1])], 1) @ b
+                rows = [batch.column(c).slice(lo, hi - lo) for c in kept]
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(1 / (1 + np.exp(-np.clip(z, -60, 60))))], names=[*kept, "score"])
+        trim()
 
     return source.mapInArrow(scored, schema)
 

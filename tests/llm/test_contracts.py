@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -271,3 +272,29 @@ def test_pipeline_toxicity_learns_from_every_labelled_row(spark, tmp_path):
     spark.createDataFrame([(i, int(i in toxic)) for i in range(n)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = pipeline.toxicity(spark, docs, str(tmp_path))
     assert out.columns == docs.columns and {tuple(r) for r in out.collect()} == {tuple(r) for r in docs.collect() if r["doc_id"] not in toxic}
+
+
+def test_pipeline_toxicity_sends_texts_once_and_by_the_chunk(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = "some plain words " * 8_000
+    rows = [(i, None if i == 3 else "" if i == 4 else f"{i} {text}", i * 2) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, cls = [], type(docs)
+    whole = cls.mapInArrow
+
+    def watched(self, func, schema, *rest):
+        def sizes(batches):
+            for out in func(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([out.num_rows]), pa.array([out.nbytes])], names=["rows", "bytes"])
+
+        if "score" in getattr(schema, "names", []):
+            seen.append((self.columns, self.schema, whole(self, sizes, "rows long, bytes long").collect()))
+        return whole(self, func, schema, *rest)
+
+    monkeypatch.setattr(cls, "mapInArrow", watched)
+    out = pipeline.toxicity(spark, docs, str(tmp_path))
+    assert Counter(tuple(r) for r in out.collect()) == Counter(rows) and out.columns == docs.columns
+    ((columns, schema, batches),) = seen
+    assert columns == ["row", "text"] and "text" not in schema["row"].dataType.names
+    assert sum(r["rows"] for r in batches) == len(rows) and max(r["bytes"] for r in batches) < (1 << 20) + 200_000
