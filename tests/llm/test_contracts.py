@@ -3,6 +3,9 @@
 import itertools
 import math
 import random
+import re
+import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -11,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 llm = pytest.importorskip("lamella.llm")
-from lamella.llm import decontaminate, jaccard, knn, lines, mixing, suffix_array, toxicity  # noqa: E402
+from lamella.llm import decontaminate, jaccard, knn, lines, mixing, packs, suffix_array, toxicity  # noqa: E402
 
 from test_operators import expected_components  # noqa: E402
 
@@ -190,6 +193,44 @@ def test_suffix_sorting_of_repeats_and_ties(spark):
     assert got == Counter((i, len(t or ""), *removed(i, t or "")) for i, t in rows)
 
 
+def test_suffix_sorting_holds_one_slice_of_a_bucket():
+    """Pairs of spans that differ in their first byte: all strings but the first of the larger id's span are repeats."""
+    n, size, rng = 32_000, 62, np.random.default_rng(8)
+    text = np.repeat(rng.integers(97, 123, (n // 2, size)).astype(np.uint8), 2, axis=0)
+    text[1::2, 0] = 65
+    key = np.repeat(np.sort(rng.integers(0, 2**63, n // 2).astype(np.uint64)), 2)
+    got = [(key[h::2], (np.arange(h, n, 2), np.full(n // 2, size, np.uint8), text[h::2].tobytes())) for h in (0, 1)]
+    tracemalloc.start()
+    try:
+        small, large = suffix_array._judge_suffixes(50)(got)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (small == 0).all() and (large == (1 << 13) - 2).all()
+    assert peak < 60e6  # 2 MB of spans
+
+
+def test_suffix_array_frees_each_round_before_the_next(spark, monkeypatch):
+    """Releases after the first, which sees the sum that buckets are counted by, leave no shuffle files of the call behind."""
+    files = lambda: set(re.findall(r"shuffle_(\d+)_", spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    old, left, free = files(), [], packs.release
+
+    def release(session):
+        free(session)
+        for _ in range(20):  # files go in the background
+            if files() <= old:
+                break
+            time.sleep(0.1)
+        left.append(files() - old)
+
+    for module in (packs, suffix_array):
+        monkeypatch.setattr(module, "release", release, raising=False)
+    text = " ".join(f"w{i * i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i} {text[i:]}") for i in range(12)], "doc_id long, text string")
+    assert suffix_array.drop_repeated_bytes(docs).filter("n_removed > 0").count() == 11
+    assert left[1:] == [set()] * 4
+
+
 def test_pipeline_of_an_empty_table_and_odd_names(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     kind = "doc_id long, text string, lang string, source string, n_chars long, _h1 int, score string, n_lines int, row int, _bad int, base int"
